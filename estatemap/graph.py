@@ -19,6 +19,7 @@ TABLE_SCHEMAS = {
     "alias_edges": model.ALIAS_EDGE_SCHEMA,
     "rejections": model.REJECTION_SCHEMA,
     "candidates": model.CANDIDATE_SCHEMA,
+    "candidate_sources": model.CANDIDATE_SOURCE_SCHEMA,
     "decisions": model.DECISION_SCHEMA,
 }
 PARTITION_COLUMN = {"nodes": "label", "edges": "rel_type"}
@@ -34,6 +35,7 @@ class Graph:
     alias_edges: DataFrame | None = None
     rejections: DataFrame | None = None
     candidates: DataFrame | None = None
+    candidate_sources: DataFrame | None = None
     decisions: DataFrame | None = None
 
     def __post_init__(self) -> None:
