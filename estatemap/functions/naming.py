@@ -67,10 +67,11 @@ def pick_name(names: Column, preferences: tuple[str, ...] = LANGUAGE_PREFERENCE)
 
     filled = F.filter(names, lambda name: text_or(strip(name["text"])) != "")
     wanted = list(dict.fromkeys(LANGUAGE_CODES.get(pref.lower(), pref.lower()) for pref in preferences))
-    choices = [
-        F.get(F.filter(filled, lambda name, lang=lang: code(name["lang"]) == lang), F.lit(0))["text"]
-        for lang in wanted
-    ]
+
+    def spoken(lang: str) -> Column:
+        return F.get(F.filter(filled, lambda name: code(name["lang"]) == lang), F.lit(0))["text"]
+
+    choices = [spoken(lang) for lang in wanted]
     return text_or(strip(F.coalesce(*choices, F.get(filled, F.lit(0))["text"])))
 
 

@@ -141,10 +141,18 @@ def batch_key(value: Column) -> Column:
     return F.regexp_replace(casefold(value), _SPACES, "")
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also when ``body`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_per_key(items: Column, key) -> Column:
     """Array without later elements whose key was already seen."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda item, i: F.array_position(keys, key(item)) == i + 1)
+    def pick(pair: Column) -> Column:
+        return F.filter(pair["items"], lambda item, i: F.array_position(pair["keys"], pair["keys"][i]) == i + 1)
+
+    return bind(items, lambda all_items: bind(
+        F.struct(all_items.alias("items"), F.transform(all_items, key).alias("keys")), pick))
 
 
 def split_multi(values: Column, pattern: str = "[;,\n]+") -> Column:

@@ -11,12 +11,11 @@ order and stay out of the join, so a word that is part of a third of all names f
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatemap.functions.scoring import bag_overlap, tokens
+from estatemap.functions.text import bind
 
 # Texts longer than this use 3-grams, which are far more selective there but need t >= 0.8.
 LONG_TEXT = 32
@@ -35,32 +34,42 @@ def _grams(text: Column, size: int) -> Column:
     grams = F.array_sort(F.transform(
         F.sequence(F.lit(1), F.greatest(F.char_length(padded) - (size - 1), F.lit(1))),
         lambda i: F.substring(padded, i, F.lit(size))))
-    return F.transform(grams, lambda gram, i: F.concat_ws(
-        "\x02", F.lit(str(size)), gram, (i - F.array_position(grams, gram)).cast("string")))
+    return bind(grams, lambda ordered: F.transform(ordered, lambda gram, i: F.concat_ws(
+        "\x02", F.lit(str(size)), gram, (i - F.array_position(ordered, gram)).cast("string"))))
+
+
+def _explode_grams(df: DataFrame, ratio: float) -> DataFrame:
+    """Texts with their grams; both sizes around the border, so that every pair shares one size."""
+    none = F.array().cast("array<string>")
+    short = F.lit(True) if ratio < 0.8 else F.col("len") <= LONG_TEXT * (2 - ratio) / ratio
+    long = F.lit(False) if ratio < 0.8 else F.col("len") > LONG_TEXT
+    sized = F.concat(_sized(short, 2, none), _sized(long, 3, none))
+    return df.select("*", F.explode(sized).alias("g")).select(*df.columns, "g.size", "g.gram")
+
+
+def _sized(chosen: Column, size: int, none: Column) -> Column:
+    grams = F.when(chosen, _grams(F.col("text"), size)).otherwise(none)
+    return F.transform(grams, lambda gram: F.struct(F.lit(size).alias("size"), gram.alias("gram")))
 
 
-def _rare_grams(df: DataFrame, freq: DataFrame, size: int, ratio: float) -> DataFrame:
+def _rare_grams(df: DataFrame, freq: DataFrame, ratio: float) -> DataFrame:
     """The rarest grams of each text that suffice for every partner at ``ratio``."""
-    keep = F.floor(size * 2 * (1 - ratio) / (2 - ratio) * F.col("len") + F.lit(_EPS)) + 1
-    by_rarity = Window.partitionBy("grp", "text").orderBy(F.coalesce("freq", F.lit(0)), "gram")
+    keep = F.floor(F.col("size") * 2 * (1 - ratio) / (2 - ratio) * F.col("len") + F.lit(_EPS)) + 1
+    by_rarity = Window.partitionBy("grp", "text", "size").orderBy(F.coalesce("freq", F.lit(0)), "gram")
     return (
-        df.select("*", F.explode(_grams(F.col("text"), size)).alias("gram"))
-        .join(freq, "gram", "left")
-        .withColumn("rank", F.row_number().over(by_rarity))
-        .filter(F.col("rank") <= keep)
-        .drop("freq")
+        _explode_grams(df, ratio).join(freq, "gram", "left")
+        .withColumn("rank", F.row_number().over(by_rarity)).filter(F.col("rank") <= keep).drop("freq")
     )
 
 
-def _joined(left: DataFrame, right: DataFrame, lengths: DataFrame, size: int, ratio: float) -> DataFrame:
-    freq = right.select(F.explode(_grams(F.col("text"), size)).alias("gram")).groupBy("gram").agg(
-        F.count(F.lit(1)).alias("freq"))
-    ours = _rare_grams(left, freq, size, ratio).select(
-        "grp", "gram", F.col("text").alias("a"), F.col("len").alias("la"), F.col("rank").alias("ra"))
-    theirs = _rare_grams(right, freq, size, ratio).select(
+def _sharing_grams(left: DataFrame, right: DataFrame, lengths: DataFrame, ratio: float) -> DataFrame:
+    freq = _explode_grams(right, ratio).groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
+    ours = _rare_grams(left, freq, ratio).select(
+        "grp", "gram", "size", F.col("text").alias("a"), F.col("len").alias("la"), F.col("rank").alias("ra"))
+    theirs = _rare_grams(right, freq, ratio).select(
         "grp", "gram", F.col("text").alias("b"), F.col("len").alias("lb"), F.col("rank").alias("rb"), "need")
     m = _needed(F.col("need"), F.col("la"), F.col("lb"))
-    lost_a, lost_b = F.col("la") - m, F.col("lb") - m
+    lost_a, lost_b, size = F.col("la") - m, F.col("lb") - m, F.col("size")
     return (
         ours.join(lengths, "la")
         .join(theirs, ["grp", "gram", "lb"])
@@ -95,15 +104,8 @@ def ratio_candidates(left: DataFrame, right: DataFrame, ratio: float) -> DataFra
         a = left.select("grp", F.col("text").alias("a"), F.col("len").alias("la")).join(lengths, "la")
         pairs = a.join(right.select("grp", F.col("text").alias("b"), F.col("len").alias("lb"), "need"), ["grp", "lb"])
         pairs = pairs.select("grp", "a", "b", "need")
-    elif ratio < 0.8:
-        pairs = _joined(left, right, lengths, 2, ratio)
     else:
-        short = LONG_TEXT * (2 - ratio) / ratio
-        parts = [
-            _joined(left.filter(F.col("len") <= short), right.filter(F.col("len") <= short), lengths, 2, ratio),
-            _joined(left.filter(F.col("len") > LONG_TEXT), right.filter(F.col("len") > LONG_TEXT), lengths, 3, ratio),
-        ]
-        pairs = reduce(DataFrame.unionByName, parts)
+        pairs = _sharing_grams(left, right, lengths, ratio)
     shared = _needed(F.col("need"), F.char_length("a"), F.char_length("b"))
     return (
         pairs.groupBy("grp", "a", "b").agg(F.min("need").alias("need"))
