@@ -89,12 +89,12 @@ def is_modeled_app(name: Column) -> Column:
 
 
 def app_rank(name: Column, confidence: Column) -> Column:
-    """Sort key of competing spellings; the greatest wins, shorter names break ties."""
+    """Sort key of competing spellings: strong first, then readable, then undotted, then short."""
     return F.struct(
-        F.coalesce(confidence == "stark", F.lit(False)).cast("int").alias("strong"),
-        F.contains(name, F.lit(" ")).cast("int").alias("readable"),
-        (-F.contains(name, F.lit(".")).cast("int")).alias("plain"),
-        (-F.char_length(name)).alias("brevity"),
+        (~F.coalesce(confidence == "stark", F.lit(False))).alias("weak"),
+        (~F.contains(name, F.lit(" "))).alias("unreadable"),
+        F.contains(name, F.lit(".")).alias("dotted"),
+        F.char_length(name).alias("length"),
     )
 
 
@@ -146,13 +146,18 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def first_per_key(items: Column, key) -> Column:
-    """Array without later elements whose key was already seen."""
-    def pick(pair: Column) -> Column:
-        return F.filter(pair["items"], lambda item, i: F.array_position(pair["keys"], pair["keys"][i]) == i + 1)
+def first_of_runs(items: Column) -> Column:
+    """First element of every run of equal ``key`` in a sorted array of structs."""
+    return bind(items, lambda ordered: F.filter(
+        ordered, lambda item, i: (i == 0) | (item["key"] != F.get(ordered, i - 1)["key"])))
+
 
-    return bind(items, lambda all_items: bind(
-        F.struct(all_items.alias("items"), F.transform(all_items, key).alias("keys")), pick))
+def first_per_key(items: Column, key) -> Column:
+    """Array without later elements whose key was already seen; sorted twice instead of compared pairwise."""
+    keyed = F.array_sort(F.transform(items, lambda item, i: F.struct(
+        key(item).alias("key"), i.alias("at"), item.alias("item"))))
+    firsts = F.transform(first_of_runs(keyed), lambda entry: F.struct(entry["at"].alias("at"), entry["item"].alias("item")))
+    return F.transform(F.array_sort(firsts), lambda entry: entry["item"])
 
 
 def split_multi(values: Column, pattern: str = "[;,\n]+") -> Column:

@@ -90,23 +90,26 @@ def extracted_documents(records: DataFrame, *, structural_id: str | None = None,
 def dedup_applications(documents: DataFrame) -> DataFrame:
     """Best spelling per application key within each document, in the order the keys first appear.
 
-    All of it happens inside the row's own array, so no shuffle is needed.
+    All of it happens inside the row's own array, so no shuffle is needed: one sort puts the best spelling
+    of each key first, another the earliest, and both keep one entry per key in the same key order.
     """
-    items = F.transform("raw_applications", lambda item, i: F.struct(
-        text.clean_app_name(item["name"]).alias("name"), item["confidence"].alias("confidence"),
-        text.app_key(text.clean_app_name(item["name"])).alias("key"), i.alias("pos")))
-    usable = F.filter(items, lambda item: (item["key"] != "") & text.is_modeled_app(item["name"]))
-
-    def best(group: Column) -> Column:
-        ranked = F.transform(group, lambda item: F.struct(
-            text.app_rank(item["name"], item["confidence"]).alias("rank"), (-item["pos"]).alias("first"),
-            item["name"].alias("name"), item["confidence"].alias("confidence")))
-        top = F.array_max(ranked)
-        return F.struct(top["name"].alias("name"), top["confidence"].alias("confidence"))
-
-    keys = F.array_distinct(F.transform("_items", lambda item: item["key"]))
-    chosen = F.transform(keys, lambda key: best(F.filter("_items", lambda item: item["key"] == key)))
-    return documents.withColumn("_items", usable).withColumn("applications", chosen).drop("_items")
+    cleaned = F.transform("raw_applications", lambda item, i: F.struct(
+        text.clean_app_name(item["name"]).alias("name"), item["confidence"].alias("confidence"), i.alias("pos")))
+    keyed = F.transform(cleaned, lambda item: F.struct(
+        text.app_key(item["name"]).alias("key"), item["name"].alias("name"), item["confidence"].alias("confidence"),
+        item["pos"].alias("pos")))
+    usable = F.filter(keyed, lambda item: (item["key"] != "") & text.is_modeled_app(item["name"]))
+
+    def chosen(items: Column) -> Column:
+        by_quality = F.array_sort(F.transform(items, lambda item: F.struct(
+            item["key"].alias("key"), text.app_rank(item["name"], item["confidence"]).alias("rank"),
+            item["pos"].alias("pos"), item["name"].alias("name"), item["confidence"].alias("confidence"))))
+        by_place = F.array_sort(F.transform(items, lambda item: F.struct(item["key"].alias("key"), item["pos"].alias("pos"))))
+        pairs = F.zip_with(text.first_of_runs(by_quality), text.first_of_runs(by_place), lambda best, first: F.struct(
+            first["pos"].alias("pos"), best["name"].alias("name"), best["confidence"].alias("confidence")))
+        return F.transform(F.array_sort(pairs), lambda entry: F.struct(entry["name"].alias("name"), entry["confidence"].alias("confidence")))
+
+    return documents.withColumn("applications", text.bind(usable, chosen))
 
 
 def changed_documents(documents: DataFrame, state: DataFrame) -> DataFrame:
