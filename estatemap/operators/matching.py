@@ -15,6 +15,7 @@ from estatemap.graph import Graph
 from estatemap.operators.quality import decision_issues
 from estatemap.operators.similar import containment_candidates, ratio_candidates
 from estatemap.operators.tables import first_by, require
+from estatemap.session import cut_lineage
 
 MENTION = ["source_path", "process", "process_id", "application_name", "position"]
 
@@ -123,8 +124,12 @@ def fuzzy_pairs(terms: DataFrame, master: DataFrame, threshold: float = scoring.
 
 def fuzzy_candidates(mentions: DataFrame, master: DataFrame, rejected: DataFrame | None = None,
                      threshold: float = scoring.FUZZY_THRESHOLD) -> DataFrame:
-    """All master rows similar enough to the mention's term, rejected pairs excluded."""
-    pairs = fuzzy_pairs(mentions.select(F.col("application_name").alias("term")), master, threshold)
+    """All master rows similar enough to the mention's term, rejected pairs excluded.
+
+    The scored pairs of distinct texts are checkpointed: the cascade reads them for the matches and again
+    for the mentions without one, and must not compare the texts twice.
+    """
+    pairs = cut_lineage(fuzzy_pairs(mentions.select(F.col("application_name").alias("term")), master, threshold))
     rows = master.select(
         "cmdb_id", "name", "ordinal",
         *([F.lower(F.trim(F.coalesce("entity_type", F.lit("")))).alias("entity_type")]
