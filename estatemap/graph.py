@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 from uuid import uuid4
 
@@ -25,40 +24,76 @@ TABLE_SCHEMAS = {
 PARTITION_COLUMN = {"nodes": "label", "edges": "rel_type"}
 
 
-@dataclass(frozen=True)
 class Graph:
-    """Node and edge tables plus the operational tables around them."""
-
-    nodes: DataFrame
-    edges: DataFrame
-    aliases: DataFrame | None = None
-    alias_edges: DataFrame | None = None
-    rejections: DataFrame | None = None
-    candidates: DataFrame | None = None
-    candidate_sources: DataFrame | None = None
-    decisions: DataFrame | None = None
-
-    def __post_init__(self) -> None:
-        spark = self.nodes.sparkSession
+    """Node and edge tables plus the operational tables around them.
+
+    Changed labels and relationship types are kept as parts beside the base tables. A step that touches
+    one label then neither rewrites nor re-plans the others, and the plan of a long sequence of steps
+    stays as small as the parts it really changed.
+    """
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, *, node_parts: dict[str, DataFrame] | None = None,
+                 edge_parts: dict[str, DataFrame] | None = None, **tables: DataFrame) -> None:
+        self._nodes = nodes
+        self._edges = edges
+        self._node_parts = dict(node_parts or {})
+        self._edge_parts = dict(edge_parts or {})
+        spark = nodes.sparkSession
         for name, schema in TABLE_SCHEMAS.items():
-            if getattr(self, name) is None:
-                object.__setattr__(self, name, model.empty(spark, schema))
+            if name not in ("nodes", "edges"):
+                given = tables.get(name)
+                setattr(self, name, given if given is not None else model.empty(spark, schema))
 
     @staticmethod
     def empty(spark: SparkSession) -> Graph:
         return Graph(model.empty(spark, model.NODE_SCHEMA), model.empty(spark, model.EDGE_SCHEMA))
 
+    @staticmethod
+    def _whole(base: DataFrame, key: str, parts: dict[str, DataFrame]) -> DataFrame:
+        result = base.filter(~F.col(key).isin(*parts)) if parts else base
+        # One table may stand for several types; it enters the union once.
+        for part in {id(part): part for part in parts.values()}.values():
+            result = result.unionByName(part)
+        return result
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._whole(self._nodes, "label", self._node_parts)
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._whole(self._edges, "rel_type", self._edge_parts)
+
     def with_(self, **tables: DataFrame) -> Graph:
-        return replace(self, **tables)
+        """The graph with whole tables exchanged."""
+        named = {name: tables.get(name, getattr(self, name)) for name in TABLE_SCHEMAS if name not in ("nodes", "edges")}
+        return Graph(
+            tables.get("nodes", self._nodes), tables.get("edges", self._edges),
+            node_parts=None if "nodes" in tables else self._node_parts,
+            edge_parts=None if "edges" in tables else self._edge_parts, **named)
+
+    def with_label(self, label: str, nodes: DataFrame) -> Graph:
+        """The graph with the nodes of one label exchanged."""
+        result = self.with_()
+        result._node_parts[label] = nodes
+        return result
+
+    def with_types(self, types: list[str], edges: DataFrame) -> Graph:
+        """The graph with the edges of some types exchanged; ``edges`` holds no other type."""
+        result = self.with_()
+        result._edge_parts.update({rel_type: edges for rel_type in types})
+        return result
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLE_SCHEMAS}
 
     def label(self, label: str) -> DataFrame:
-        return self.nodes.filter(F.col("label") == label)
+        if label in self._node_parts:
+            return self._node_parts[label]
+        return self._nodes.filter(F.col("label") == label)
 
     def relation(self, rel_type: str, src_label: str | None = None, dst_label: str | None = None) -> DataFrame:
-        edges = self.edges.filter(F.col("rel_type") == rel_type)
+        edges = self._edge_parts.get(rel_type, self._edges).filter(F.col("rel_type") == rel_type)
         if src_label:
             edges = edges.filter(F.col("src_label") == src_label)
         if dst_label:

@@ -9,6 +9,8 @@ and without the cut each step would multiply the plan of the one before.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +26,15 @@ EDGE_KEY = ["rel_type", "src_id", "dst_id"]
 
 
 def _put_nodes(graph: Graph, label: str, nodes: DataFrame) -> Graph:
-    return graph.with_(nodes=graph.nodes.filter(F.col("label") != label).unionByName(conform(nodes, model.NODE_SCHEMA)))
+    return graph.with_label(label, conform(nodes, model.NODE_SCHEMA))
 
 
 def _put_edges(graph: Graph, types: list[str], edges: DataFrame) -> Graph:
-    others = graph.edges.filter(~F.col("rel_type").isin(*types))
-    return graph.with_(edges=others.unionByName(conform(edges, model.EDGE_SCHEMA)))
+    return graph.with_types(types, conform(edges, model.EDGE_SCHEMA))
 
 
 def _of_types(graph: Graph, types: list[str]) -> DataFrame:
-    return graph.edges.filter(F.col("rel_type").isin(*types))
+    return reduce(DataFrame.unionByName, [graph.relation(rel_type) for rel_type in types])
 
 
 def edge_rows(pairs: DataFrame, rel_type: str, src_label: str, dst_label: str) -> DataFrame:
@@ -160,16 +161,19 @@ RELATION_ENDS = {
 }
 
 
+def _identified(graph: Graph, labels: tuple[str, ...], *names: str) -> DataFrame:
+    """(id, node_id, label) of the nodes of some labels under the given names."""
+    nodes = reduce(DataFrame.unionByName, [graph.label(label).select("id", "node_id", "label") for label in labels])
+    return nodes.filter(F.col("id").isNotNull()).toDF(*names)
+
+
 def resolve_relations(graph: Graph, relations: DataFrame) -> DataFrame:
     """Edges for the (source_id, relation_type, target_id) rows whose both ends exist."""
     result = None
     for rel_type, (sources, targets) in RELATION_ENDS.items():
         rows = relations.filter(F.col("relation_type") == rel_type).select("source_id", "target_id").distinct()
-        ends = graph.nodes.filter(F.col("id").isNotNull())
-        src = ends.filter(F.col("label").isin(*sources)).select(
-            F.col("id").alias("source_id"), F.col("node_id").alias("src_id"), F.col("label").alias("src_label"))
-        dst = ends.filter(F.col("label").isin(*targets)).select(
-            F.col("id").alias("target_id"), F.col("node_id").alias("dst_id"), F.col("label").alias("dst_label"))
+        src = _identified(graph, sources, "source_id", "src_id", "src_label")
+        dst = _identified(graph, targets, "target_id", "dst_id", "dst_label")
         edges = conform(rows.join(src, "source_id").join(dst, "target_id").withColumn("rel_type", F.lit(rel_type)),
                         model.EDGE_SCHEMA)
         result = edges if result is None else result.unionByName(edges)
@@ -178,8 +182,13 @@ def resolve_relations(graph: Graph, relations: DataFrame) -> DataFrame:
 
 def _entity_nodes(graph: Graph, entities: DataFrame) -> DataFrame:
     """(entity_id, node_id, label) of the listed entities; processes carry no ``id`` and stay out."""
-    return graph.nodes.filter(F.col("id").isNotNull()).join(
-        entities.select("entity_id").distinct(), F.col("id") == F.col("entity_id")).select("entity_id", "node_id", "label")
+    parts = []
+    for kind in ("application", "interface", "server"):
+        label = model.LABEL_OF_TYPE[kind]
+        listed = entities.filter(F.col("entity_type") == kind).select("entity_id").distinct()
+        nodes = graph.label(label).filter(F.col("id").isNotNull()).select(F.col("id").alias("entity_id"), "node_id")
+        parts.append(nodes.join(listed, "entity_id", "left_semi").withColumn("label", F.lit(label)))
+    return cut_lineage(reduce(DataFrame.unionByName, parts))
 
 
 def ensure_org_units(graph: Graph, names: DataFrame) -> tuple[Graph, DataFrame]:

@@ -6,8 +6,6 @@ from the same projection, and the operators under test are expressed independent
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,23 +120,6 @@ def query(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
-class StarGraph(Graph):
-    """The projected graph. One label or type is its own select, as one partition is in stored tables."""
-
-    def label(self, label: str) -> DataFrame:
-        return self.by_label[label] if label in self.by_label else super().label(label)
-
-    def relation(self, rel_type: str, src_label: str | None = None, dst_label: str | None = None) -> DataFrame:
-        parts = [
-            df for (rel, src, dst), df in self.by_type.items()
-            if rel == rel_type and src_label in (None, src) and dst_label in (None, dst)
-        ]
-        return reduce(DataFrame.unionByName, parts) if parts else super().relation(rel_type, src_label, dst_label)
-
-    def with_(self, **tables: DataFrame) -> Graph:
-        return Graph(**{**self.tables(), **tables})
-
-
 def graph(spark: SparkSession, folder: str) -> Graph:
     """The projection as a graph; only its plan is kept between queries."""
     key = (spark.sparkContext.applicationId, folder)
@@ -147,17 +128,16 @@ def graph(spark: SparkSession, folder: str) -> Graph:
             label: conform(query(spark, folder, sql).withColumn("label", F.lit(label)), model.NODE_SCHEMA)
             for label, sql in NODES.items()
         }
-        by_type = {
-            shape: conform(query(spark, folder, sql).withColumns(dict(zip(
+        by_type: dict[str, DataFrame] = {}
+        for shape, sql in EDGES.items():
+            part = conform(query(spark, folder, sql).withColumns(dict(zip(
                 ("rel_type", "src_label", "dst_label"), map(F.lit, shape)))), model.EDGE_SCHEMA)
-            for shape, sql in EDGES.items()
-        }
-        result = StarGraph(
-            reduce(DataFrame.unionByName, by_label.values()), reduce(DataFrame.unionByName, by_type.values()),
+            by_type[shape[0]] = by_type[shape[0]].unionByName(part) if shape[0] in by_type else part
+        result = Graph(
+            model.empty(spark, model.NODE_SCHEMA), model.empty(spark, model.EDGE_SCHEMA),
+            node_parts=by_label, edge_parts=by_type,
             aliases=conform(query(spark, folder, ALIASES), model.ALIAS_SCHEMA),
             alias_edges=conform(query(spark, folder, ALIAS_EDGES), model.ALIAS_EDGE_SCHEMA))
-        object.__setattr__(result, "by_label", by_label)
-        object.__setattr__(result, "by_type", by_type)
         _GRAPHS[key] = result
     return _GRAPHS[key]
 
