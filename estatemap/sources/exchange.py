@@ -210,13 +210,16 @@ def read_exchange(spark: SparkSession, path: str, languages: tuple[str, ...] = L
 
 def write_exchange(elements: DataFrame, relations: DataFrame, path: str) -> None:
     """Element and relationship records as XML part files below ``path``."""
-    elements.select(
-        F.col("identifier").alias("_identifier"), F.col("element_type").alias("_xsi:type"),
-        F.struct(F.col("name").alias("_VALUE"), F.lit("de").alias("_xml:lang")).alias("name"),
-    ).write.format("xml").option("rootTag", "elements").option("rowTag", "element").save(f"{path}/elements")
-    relations.select(
-        F.col("identifier").alias("_identifier"), F.col("relation_type").alias("_xsi:type"),
-        F.col("source").alias("_source"), F.col("target").alias("_target"),
-    ).write.format("xml").option("rootTag", "relationships").option("rowTag", "relationship").save(f"{path}/relationships")
+    space = 'xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'
 
+    def save(records: DataFrame, root: str, row: str) -> None:
+        # Name validation would refuse the colon of prefixed attributes.
+        records.write.format("xml").option("rootTag", f"{root} {space}").option("rowTag", row).option(
+            "validateName", "false").save(f"{path}/{root}")
 
+    save(elements.select(
+        F.col("identifier").alias("_identifier"), F.col("element_type").alias("_xsi:type"),
+        F.struct(F.col("name").alias("_VALUE"), F.lit("de").alias("_xml:lang")).alias("name")), "elements", "element")
+    save(relations.select(
+        F.col("identifier").alias("_identifier"), F.col("relation_type").alias("_xsi:type"),
+        F.col("source").alias("_source"), F.col("target").alias("_target")), "relationships", "relationship")
