@@ -36,58 +36,85 @@ CAPACITY = 2048
 SMALL = 256
 GROUPS = 96
 END_ID = 0
-#: Words whose ids one worker remembers; the memory is emptied when it is full.
+#: Words, and parts of words, whose ids one worker remembers; a memory is emptied when it is full.
 REMEMBERED = 400_000
 #: Words longer than this are tokenised anew each time.
 LONG_WORD = 64
 #: White space of the tokenizer's own splitting rule (fixed values). ``str.split`` takes four control characters more.
 WHITE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
-_memory: dict[str, tuple] = {}
+#: What takes a text off the short way: letters beyond Latin, marks that join letters, controls, letters with odd lower case.
+ODD = re.compile(r"[^\t-\r -~\x85\xa0-\u012f\u0131-\u0148\u014a-\u017f\u2000-\u200a\u2010-\u2029\u20ac]")
+#: The tokenizer's split of a plain word: contractions, letters, single numbers, other marks (fixed values).
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+")
+_memory: dict[str, WordIds] = {}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next above 255."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [byte for byte in range(256) if byte not in prints]
+    return {byte: chr(byte) for byte in prints} | {byte: chr(256 + at) for at, byte in enumerate(others)}
 
 
 class WordIds:
-    """Ids of texts, word by word: the tokenizer never joins what white space separates."""
+    """Ids of texts, word by word: the tokenizer never joins what white space separates.
+
+    The words of a plain text (Latin letters, no special token) are lower-cased and cut as the tokenizer would cut
+    them, and only new parts meet its merges; the words of any other text go through the tokenizer as they are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     @staticmethod
-    def _words(text: str) -> list[str]:
+    def split(text: str) -> list[str]:
         if any(mark in text for mark in NOT_WHITE):
             return WHITE.split(text)
         return text.split()
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for start in range(0, len(words), 10_000):
-            part = words[start:start + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [self._words(text) for text in texts]
-        result = []
-        # Few texts at a time, so that emptying the memory never takes away a word still needed.
-        for start in range(0, len(split), 32):
-            part = split[start:start + 32]
-            fresh = {word for words in part for word in words if word not in self.known}
-            if fresh:
-                before = self.known
-                self._learn(sorted(fresh))
-                if len(self.known) < len(before):
-                    self._learn(sorted({word for words in part for word in words if word not in self.known}))
-            known = self.known
-            result.extend(b"".join([known[word] for word in words]) for words in part)
-            for word in fresh:
-                if len(word) > LONG_WORD:
-                    del known[word]
-        return result
+    def _part(self, part: str) -> bytes:
+        known = self.parts.get(part)
+        if known is None:
+            if len(self.parts) > REMEMBERED:
+                self.parts.clear()
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            known = b"".join([token.id.to_bytes(4, "little") for token in self.model.tokenize(letters)])
+            self.parts[part] = known
+        return known
+
+    def _plain(self, word: str) -> bytes:
+        return b"".join([self._part(part) for part in PARTS.findall(word)])
+
+    def _other(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of the text."""
+        if "<|" not in text and not ODD.search(text):
+            words, known, learn = text.lower().split(), self.words, self._plain
+        else:
+            words, known, learn = self.split(text), self.others, self._other
+        found = list(map(known.get, words))
+        if None in found:
+            if len(known) > REMEMBERED:
+                known.clear()
+            for at, ids in enumerate(found):
+                if ids is None:
+                    word = words[at]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = learn(word)
+                        if len(word) <= LONG_WORD:
+                            known[word] = ids
+                    found[at] = ids
+        return b"".join(found)
 
 
 def _ids(path: str) -> WordIds:
@@ -105,11 +132,9 @@ def _pieces(path: str, capacity: int):
         ids = _ids(path)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                out = []
-                texts = [text or "" for text in part.column(1).to_pylist()]
-                for key, found in zip(part.column(0).to_pylist(), ids(texts)):
-                    whole = found + end
+                part, out = batch.slice(first, 256), []
+                for key, text in zip(part.column(0).to_pylist(), part.column(1)):
+                    whole = ids(text.as_py() or "") + end
                     for piece, at in enumerate(range(0, len(whole), step)):
                         cut = whole[at:at + step]
                         out.append((key, piece, at // 4, len(cut) // 4, zlib.crc32(cut)))
