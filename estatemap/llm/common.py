@@ -35,10 +35,28 @@ def ranked(rows: DataFrame, group: str, order: Sequence[str], name: str, rows_pe
             .withColumn(name, F.col(name) + F.col("_shift")).drop("_slice", "_shift"))
 
 
+def bounded_sample(rows: DataFrame, group: str, per_group: int, keys: Sequence[str]) -> DataFrame:
+    """About ``per_group`` rows of each ``group`` and never more, chosen by a hash of ``keys``.
+
+    The groups are counted first; only rows whose hash lies below the share that is wanted are shuffled.
+    ``group`` must have few values (labels, languages): their counts reach the driver.
+    """
+    many = {row[0]: row[1] for row in rows.groupBy(group).agg(F.count(F.lit(1))).collect()}
+    if not many:
+        return rows.limit(0)
+    share = F.lit(None).cast("double")
+    for value, n in sorted(many.items(), key=lambda item: str(item[0])):
+        share = F.when(F.col(group) == F.lit(value), F.lit(min(1.0, (per_group + 4 * per_group ** 0.5) / n))).otherwise(share)
+    place = F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
+    near = rows.withColumn("_place", place).filter(F.col("_place") < share)
+    first = Window.partitionBy(group).orderBy("_place", *keys)
+    return (near.withColumn("_turn", F.row_number().over(first)).filter(F.col("_turn") <= per_group).drop("_turn", "_place"))
+
+
 def held_out(id_column: str, parts: int, part: int) -> Column:
     """crc32 of the id as text, modulo ``parts``, equals ``part``; false for a null id."""
     remainder = F.crc32(F.col(id_column).cast("string").cast("binary")) % F.lit(parts)
     return F.coalesce(remainder == F.lit(part), F.lit(False))
 
 
-__all__ = ["ROWS_PER_SLICE", "cut_lineage", "held_out", "ranked", "table"]
+__all__ = ["ROWS_PER_SLICE", "bounded_sample", "cut_lineage", "held_out", "ranked", "table"]
