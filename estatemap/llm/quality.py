@@ -18,12 +18,13 @@ or unlabelled rows every score is the prior 0.5; texts are read whole; a label c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatemap.llm.common import bounded_sample
@@ -134,7 +135,7 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(np.quantile(ratios, 0.1), 0.02, 0.98))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def train(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> Model:
     """A first classifier tells positives from unlabelled rows and gives the prior; the second minimises the risk with it."""
     if len(positive) < 2 or len(unlabelled) < 2:
         return Model([np.zeros(0)] * FEATURES, np.zeros(FEATURES), 0.0, 0.5)
@@ -144,3 +145,50 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate:
     prior = class_prior(p[1::2] @ first, u[1::2] @ first)
     theta = _descend(_risk(p, u, prior), p.shape[1], steps, rate, decay)
     return Model(cuts, theta[:-1], float(theta[-1]), prior)
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [features(text.as_py()).tobytes() for text in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["kind", "numbers"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, allowed: Callable[[str], Column], id_column: str = "doc_id", text_column: str = "text",
+        label_column: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+    """Train on positives among the rows whose id is ``allowed``, and on a sample of all those rows without their labels."""
+    rows = docs.filter(allowed(id_column)).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    good = (labels.groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).alias("label"))
+            .filter("label = 1").filter(allowed("id")).select("id", F.lit(1).alias("kind")))
+    wanted = bounded_sample(good, "kind", positives, ["id"])
+    trusted = rows.join(F.broadcast(wanted), "id").select("kind", "text")  # ``positives`` ids at most
+    web = bounded_sample(rows.withColumn("kind", F.lit(0)), "kind", unlabelled, ["id", "text"]).select("kind", "text")
+    measured = trusted.unionByName(web).mapInArrow(_measured, "kind int, numbers binary").collect()
+    ordered = sorted((row.kind, bytes(row.numbers)) for row in measured)
+    sides = [np.array([np.frombuffer(numbers, np.float32) for kind, numbers in ordered if kind == side]).reshape(-1, FEATURES)
+             for side in (1, 0)]
+    turn = [np.random.default_rng(5).permutation(len(side)) for side in sides]
+    return train(sides[0][turn[0]], sides[1][turn[1]])
+
+
+def scorer(spark: SparkSession, model: Model):
+    """A column function: the score of a whole text, 0 to 1, higher where label 1 is likelier."""
+    sent = spark.sparkContext.broadcast(model)  # a few hundred numbers
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            found = np.array([features(text) for text in batch]).reshape(-1, FEATURES)
+            yield pd.Series(sent.value.scores(found))
+    return score
+
+
+def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_column: str = "doc_id",
+                    text_column: str = "text") -> DataFrame:
+    """``id_column, score, predicted`` of every row of ``docs``."""
+    scored = docs.select(F.col(id_column), scorer(docs.sparkSession, model)(F.col(text_column)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
+    """``docs`` whose score reaches the threshold, all columns as they were."""
+    return docs.filter(scorer(docs.sparkSession, model)(F.col(text_column)) >= threshold)

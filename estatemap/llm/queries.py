@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estatemap.llm import exact_dedup, packing, sharding
-from estatemap.llm.common import table
+from estatemap.llm import decontaminate, exact_dedup, htmltext, langid, packing, quality, sharding, simhash
+from estatemap.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,49 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, folder: str) -> quality.Model:
+    """Learned from rows whose crc32(doc_id) mod 5 is not 0."""
+    return quality.fit(docs, table(spark, folder, "labels"), lambda column: ~held_out(column, 5, 0))
+
+
+@_register("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = quality.score_documents(docs, quality_model(spark, docs, folder))
+    return scored.withColumn("held_out", held_out("doc_id", 5, 0))
+
+
+@_register("op2_decontamination", r"""
+    WITH cut AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS own FROM documents),
+    item AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS own FROM benchmark),
+    win AS (SELECT DISTINCT item_id, own[s:s + 9] AS win FROM item, unnest(range(1, greatest(len(own) - 9, 1) + 1)) AS r(s)
+            WHERE len(own) > 0),
+    sizes AS (SELECT DISTINCT len(win) AS size FROM win),
+    spot AS (SELECT doc_id, p, size, own[p:p + size - 1] AS win FROM cut, unnest(range(1, len(own) + 1)) AS r(p), sizes
+             WHERE p + size - 1 <= len(own)),
+    found AS (SELECT doc_id, p, size, item_id FROM spot JOIN win USING (win)),
+    hit AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM found, unnest(range(p, p + size)) AS r(w) GROUP BY 1),
+    named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                     array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS names FROM found GROUP BY 1)
+    SELECT doc_id, coalesce(len(own), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM cut LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""")
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@_register("op3_simhash_dedup")
+def op3_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_groups(table(spark, folder, "documents"))
+
+
+@_register("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.extract(table(spark, folder, "pages"))
+
+
 @_register("op5_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
            doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -36,6 +79,13 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, folder, "documents"))
 
 
+@_register("op7_language_id")
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.train(langid.training_rows(docs, ~held_out("doc_id", 4, 2)))
+    return langid.identify(docs, model).withColumn("held_out", held_out("doc_id", 4, 2))
+
+
 @_register("op8_best_fit_packing")
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.tokenised_pieces(table(spark, folder, "documents"), tokenizer_path()))
