@@ -11,6 +11,8 @@ from estatemap.session import cut_lineage
 
 #: Rows that one task numbers at most, apart from fully equal rows.
 ROWS_PER_SLICE = 50_000
+#: Slices that a group is dealt into at least.
+SLICES = 16
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,7 +26,7 @@ def ranked(rows: DataFrame, group: str, order: Sequence[str], name: str, rows_pe
     rows of the slices before it. So a group with a third of all rows never meets in one task. ``rows`` is
     read twice and should be cut from its lineage. Rows equal in ``order`` get neighbouring numbers.
     """
-    slices = max(1, -(-rows.count() // rows_per_slice))
+    slices = max(SLICES, -(-rows.count() // rows_per_slice))
     dealt = rows.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
     sizes = dealt.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
