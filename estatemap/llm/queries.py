@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from estatemap.llm import decontaminate, exact_dedup, htmltext, langid, packing, quality, sharding, simhash
+from estatemap.llm import decontaminate, exact_dedup, htmltext, langid, packing, preferences, quality, sharding, simhash, urlfilter
 from estatemap.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +80,39 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, folder, "documents"))
 
 
+#: Captures are dated by their id, and list entries by the ids of the pages of a host: the tables have no dates.
+FETCHED = "date_add(DATE '2024-01-01', CAST(page_id * 37 % 365 AS INT))"
+
+
+@_register("op6_url_filter", r"""
+    WITH capture AS (SELECT page_id AS id, url, DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INT) AS fetched,
+                            lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM pages),
+    entry AS (SELECT DISTINCT CASE WHEN id % 3 = 0 THEN regexp_replace(host, '^[^.]*\.', '') ELSE host END AS domain,
+                     ['ads', 'malware', 'trusted'][CAST(id % 7 % 3 AS INT) + 1] AS list, id % 2 = 0 AS is_on,
+                     DATE '2024-01-01' + CAST(id * 53 % 365 AS INT) AS since FROM capture WHERE host != ''),
+    state AS (SELECT domain, list, since, bool_or(is_on) AS is_on FROM entry WHERE domain != '' GROUP BY ALL),
+    change AS (SELECT * FROM (SELECT *, coalesce(lag(is_on) OVER (PARTITION BY domain, list ORDER BY since), false) AS was FROM state)
+               WHERE is_on != was),
+    valid AS (SELECT * FROM (SELECT *, lead(since) OVER (PARTITION BY domain, list ORDER BY since) AS until FROM change) WHERE is_on),
+    hit AS (SELECT c.id, domain, length(domain) AS size, list FROM capture c JOIN valid v
+            ON (c.host = domain OR ends_with(c.host, '.' || domain)) AND fetched >= since AND (until IS NULL OR fetched < until)),
+    decided AS (SELECT id, domain, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists, NOT bool_or(list = 'trusted') AS blocked
+                FROM hit WHERE size = (SELECT max(size) FROM hit h WHERE h.id = hit.id) GROUP BY id, domain)
+    SELECT c.*, domain, lists, coalesce(blocked, false) AS blocked FROM capture c LEFT JOIN decided USING (id)""")
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries come from the pages themselves: every third page lists its parent domain, the others their host."""
+    pages = table(spark, folder, "pages")
+    captures = pages.select(F.col("page_id").alias("id"), "url", F.expr(FETCHED).alias("fetched"))
+    host = urlfilter.url_host(F.col("url"))
+    entries = captures.select(
+        F.when(F.col("id") % 3 == 0, F.regexp_replace(host, r"^[^.]*\.", "")).otherwise(host).alias("domain"),
+        F.element_at(F.array(*map(F.lit, ("ads", "malware", "trusted"))), (F.col("id") % 7 % 3 + 1).cast("int")).alias("list"),
+        F.when(F.col("id") % 2 == 0, "add").otherwise("remove").alias("action"),
+        F.expr("date_add(DATE '2024-01-01', CAST(id * 53 % 365 AS INT))").alias("time"))
+    lists = spark.createDataFrame([("ads", "block"), ("malware", "block"), ("trusted", "allow")], "list string, kind string")
+    return urlfilter.evaluate(captures, entries, lists)
+
+
 @_register("op7_language_id")
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -94,3 +128,29 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op9_sharding")
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_rows(table(spark, folder, "documents"))
+
+
+@_register("op10_preference_formatting", """
+    WITH pair AS (SELECT conv_id AS pair_id, 'chosen' AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT conv_id, 'rejected', turn, coalesce(role, ''),
+            CASE WHEN role = 'assistant' AND turn >= 1 + 2 * (conv_id % 3) THEN coalesce(text, '')[1:length(text) // 2] ELSE coalesce(text, '') END
+        FROM conversations),
+    shown AS (SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered FROM pair),
+    apart AS (SELECT pair_id, min(turn) FILTER (WHERE chosen IS DISTINCT FROM rejected) AS apart FROM
+        (SELECT pair_id, turn, list_sort(list(rendered) FILTER (WHERE side = 'chosen')) AS chosen,
+                list_sort(list(rendered) FILTER (WHERE side = 'rejected')) AS rejected FROM shown GROUP BY ALL) GROUP BY 1),
+    parted AS (SELECT *, CASE WHEN apart IS NULL OR turn < apart THEN 'prompt' ELSE side END AS part FROM shown JOIN apart USING (pair_id)
+        WHERE side = 'chosen' OR turn >= apart),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side, turn ORDER BY role, text) - 1 AS place,
+        coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn, role, text
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM parted)
+    SELECT pair_id, part, turn, place, role, rendered, start,
+        CASE WHEN part != 'prompt' AND role = 'assistant' THEN start + length(role) + 5 END AS train_from,
+        CASE WHEN part != 'prompt' AND role = 'assistant' THEN start + length(rendered) - 1 END AS train_to FROM placed""")
+def op10_preference_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """The rejected side has the assistant's answers cut in half from turn 1, 3 or 5 on, by the conversation's id."""
+    turns = table(spark, folder, "conversations").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    from_here = (F.col("role") == "assistant") & (F.col("turn") >= 1 + 2 * (F.col("pair_id") % 3))
+    half = F.expr("left(text, length(text) div 2)")
+    rejected = turns.withColumn("text", F.when(from_here, half).otherwise(F.col("text"))).withColumn("side", F.lit("rejected"))
+    return preferences.preference_rows(turns.withColumn("side", F.lit("chosen")).unionByName(rejected))
