@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatemap.session import cut_lineage
+from estatemap.session import checkpoint_folder, cut_lineage
 
 #: Rows that one task numbers at most, apart from fully equal rows.
 ROWS_PER_SLICE = 50_000
+#: Rows of a few numbers each that may be broadcast, about 20 MB.
+BROADCAST_ROWS = 500_000
 #: Slices that a group is dealt into at least.
 SLICES = 16
 
@@ -55,10 +58,31 @@ def bounded_sample(rows: DataFrame, group: str, per_group: int, keys: Sequence[s
     return (near.withColumn("_turn", F.row_number().over(first)).filter(F.col("_turn") <= per_group).drop("_turn", "_place"))
 
 
+def small_or_shuffled(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` with a broadcast hint if a count shows at most ``most``; read twice, so cut its lineage before."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``docs`` less the rows whose id and XXH64 of the text are in ``dropped`` (``id, hash``; null ids are equal)."""
+    columns = [F.col(f"row.`{name}`").alias(name) for name in docs.columns]
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("hash")).alias("r")
+    gone = small_or_shuffled(dropped).alias("d")
+    return rows.join(gone, F.col("r.id").eqNullSafe(F.col("d.id")) & (F.col("r.hash") == F.col("d.hash")), "left_anti").select(*columns)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the shared folder of ``spark.checkpoint.dir`` and read again."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def held_out(id_column: str, parts: int, part: int) -> Column:
     """crc32 of the id as text, modulo ``parts``, equals ``part``; false for a null id."""
     remainder = F.crc32(F.col(id_column).cast("string").cast("binary")) % F.lit(parts)
     return F.coalesce(remainder == F.lit(part), F.lit(False))
 
 
-__all__ = ["ROWS_PER_SLICE", "bounded_sample", "cut_lineage", "held_out", "ranked", "table"]
+__all__ = ["bounded_sample", "cut_lineage", "held_out", "ranked", "small_or_shuffled", "stored", "table", "without"]

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from estatemap.llm.common import cut_lineage
+from estatemap.llm.common import cut_lineage, without
 
 WIDTH = 10
 BLOCK = 100_000
@@ -129,8 +129,5 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_column: str = "doc_id",
                       text_column: str = "text") -> DataFrame:
     """``docs`` without the documents that contain a window, all columns as they were."""
-    hits = contamination(docs, items, width, id_column=id_column, text_column=text_column).select("id", "hash").alias("h")
-    columns = [F.col(f"row.`{name}`").alias(name) for name in docs.columns]
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("hash")).alias("r")
-    clean = rows.join(hits, F.col("r.id").eqNullSafe(F.col("h.id")) & (F.col("r.hash") == F.col("h.hash")), "left_anti")
-    return clean.select(*columns)
+    hits = contamination(docs, items, width, id_column=id_column, text_column=text_column).select("id", "hash")
+    return without(docs, cut_lineage(hits), id_column, text_column)

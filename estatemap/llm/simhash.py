@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from estatemap.llm.common import cut_lineage
+from estatemap.llm.common import cut_lineage, without
 from estatemap.llm.components import components
 
 SEED = 42
@@ -58,14 +58,14 @@ def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(text.as_py()) for text in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
+        found = np.array([fingerprint(text.as_py()) for text in batch.column(2)], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["id", "hash", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id, fp`` of every row; ``fp`` holds the 64 bits as a signed number."""
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(_fingerprints, f"id {dict(rows.dtypes)['id']}, fp long")
+    """``id, hash, fp`` of every row: the XXH64 of the text and, as a signed number, the 64 bits of its fingerprint."""
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("hash"), F.col(text_column).alias("text"))
+    return rows.mapInArrow(_fingerprints, f"id {dict(rows.dtypes)['id']}, hash long, fp long")
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
@@ -158,13 +158,36 @@ def links(fps: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
     return paired.unionByName(_crowd_links(crowds, runs, bits))
 
 
+def _rooted(distinct: DataFrame, bits: int) -> DataFrame:
+    """``fp, least_id, root`` of every distinct fingerprint."""
+    roots = components(links(distinct, bits))
+    return (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+            .select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
+
+
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = BITS) -> DataFrame:
     """``id_column, fingerprint, component_id`` of every row: the least id reachable over links of ``bits`` bits or fewer."""
     rows = cut_lineage(fingerprints(docs, id_column, text_column))
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
-    roots = components(links(distinct, bits))
-    rooted = (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-              .select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
+    rooted = _rooted(distinct, bits)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
         F.col("id").alias(id_column), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each group, that of the least id, all columns as they were; of fully equal rows one stays."""
+    rows = cut_lineage(fingerprints(docs, id_column, text_column).select("id", "fp", "hash"))
+    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
+    rooted = _rooted(distinct, bits).select("fp", "root")
+    known = cut_lineage(rows.join(rooted, "fp").withColumn("turn", F.struct(F.col("id").isNull().alias("last"), "id", "hash")))
+    groups = known.groupBy("root").agg(F.min("turn").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    losers = cut_lineage(known.join(groups, "root").filter("turn != first").select("id", "hash").distinct())
+    kept = without(docs, losers, id_column, text_column)
+    repeated = cut_lineage(rows.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "hash"))
+    if repeated.isEmpty():
+        return kept
+    columns = [F.col(f"row.`{name}`").alias(name) for name in docs.columns]
+    marked = (kept.select(F.struct("*").alias("row"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("hash"))
+              .withColumn("turn", F.row_number().over(Window.partitionBy("id", "hash").orderBy("hash"))))
+    return marked.filter("turn = 1").select(*columns)
