@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "estatemap", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; ``conf`` overrides them.
 
+    ``spark.checkpoint.dir`` must be named here or by the cluster before an operator cuts its lineage.
     Shuffle partitions stay unset on a cluster: AQE coalesces and splits them there.
     """
     settings = {
@@ -29,19 +28,18 @@ def build_session(app: str = "estatemap", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the files.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local master
-    without that setting gets a temporary folder.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``, set on its context."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="estatemap-checkpoint-")
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and continue from the files."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
