@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "estatemap", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; ``conf`` overrides them.
 
-    ``spark.checkpoint.dir`` must be named here or by the cluster before an operator cuts its lineage.
+    A cluster names ``spark.checkpoint.dir``; operators cut their lineage there.
     Shuffle partitions stay unset on a cluster: AQE coalesces and splits them there.
     """
     settings = {
@@ -29,12 +32,17 @@ def build_session(app: str = "estatemap", master: str | None = None, **conf: str
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``, set on its context."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``, set on its context.
+
+    Only a session whose executors are threads of the driver (tests, trials) gets a temporary folder where it is unset.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="estatemap-checkpoint-")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
