@@ -154,6 +154,8 @@ class _Reader(HTMLParser):
         self.words.append(data)
 
     def finish(self) -> None:
+        if self.rawdata[:1] == "<" and (self.rawdata[1:2].isalpha() or self.rawdata[1:2] in ("/", "!", "?")):
+            self.rawdata = ""  # a tag or comment that the page breaks off in is no text
         self.close()
         while len(self.stack) > 1:
             self._close()
@@ -211,7 +213,7 @@ def low_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW
                                            (F.col("texts") - F.col("text_logs") / base).alias("kept"))
     below = own.groupBy("host", "node").agg((F.sum("kept") / F.sum("texts")).alias("content"))
     looks = F.coalesce((F.log("styles") - F.col("style_logs") / F.col("styles")) / base, F.lit(0.0))
-    scored = (nodes.join(below, ["host", "node"]).withColumn("importance", F.lit(CONTENT) * F.col("content") + F.lit(1 - CONTENT) * looks)
+    scored = (nodes.join(below, ["host", "node"]).withColumn("importance", F.round(F.lit(CONTENT) * F.col("content") + F.lit(1 - CONTENT) * looks, 6))
               .select("host", "node", "m", F.element_at("above", 1).alias("root"), "importance"))
     roots = scored.filter("node = root").groupBy("host").agg(F.max("importance").alias("whole"))
     return (scored.join(roots, "host")
