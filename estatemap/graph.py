@@ -122,8 +122,11 @@ def fingerprint(df: DataFrame) -> list[Column]:
 
 
 _MANIFEST = ("version long, table string, path string, row_count long, checksum_xor long, checksum_sum long, "
-             "created_at string, trigger string, operation string, schema_version int, is_snapshot boolean")
-SCHEMA_VERSION = 2
+             "file_count long, file_checksum long, created_at string, trigger string, operation string, schema_version int, "
+             "is_snapshot boolean")
+SCHEMA_VERSION = 3
+#: Snapshots that retention keeps.
+KEPT_SNAPSHOTS = 10
 
 
 class GraphStore:
@@ -143,11 +146,22 @@ class GraphStore:
         return handle.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(handle)
 
     def manifest(self) -> DataFrame:
-        """Every (version, table) ever committed."""
-        path = f"{self.root}/manifest"
+        """Every (version, table) that was committed and not pruned."""
+        path, pruned = f"{self.root}/manifest", f"{self.root}/pruned"
         if not self._exists(path):
             return self.spark.createDataFrame([], _MANIFEST)
-        return self.spark.read.schema(_MANIFEST).parquet(path)
+        rows = self.spark.read.schema(_MANIFEST).parquet(path)
+        if not self._exists(pruned):
+            return rows
+        return rows.join(self.spark.read.schema("version long").parquet(pruned), "version", "left_anti")
+
+    def _files(self, path: str) -> dict[str, int]:
+        """Number of files of a table folder, whatever their folder below it, and a checksum of their names and sizes."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+            F.substring_index("path", path, -1).alias("name"), "length")
+        return files.agg(
+            F.count(F.lit(1)).alias("file_count"),
+            F.coalesce(F.sum(F.pmod(F.xxhash64("name", "length"), F.lit(1_000_003))), F.lit(0)).alias("file_checksum")).first().asDict()
 
     def latest_version(self) -> int:
         return self.manifest().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
@@ -170,16 +184,27 @@ class GraphStore:
                     writer = tables[name].write
                 writer.mode("errorifexists").parquet(path)
                 stats = self._read(path, name).agg(*fingerprint(model.empty(self.spark, schema))).first()
-                entry = {"table": name, "path": path, **stats.asDict()}
+                entry = {"table": name, "path": path, **stats.asDict(), **self._files(path)}
             elif name in previous:
                 entry = previous[name]
             else:
                 continue
-            rows.append({**entry, "version": version, "created_at": created, "trigger": trigger,
-                         "operation": operation, "schema_version": SCHEMA_VERSION, "is_snapshot": is_snapshot})
-        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+            rows.append(entry)
+        self._append(rows, version, created, trigger, operation, is_snapshot)
         return version
 
+    def _append(self, entries: list[dict], version: int, created: str, trigger: str, operation: str, is_snapshot: bool) -> None:
+        rows = [{**entry, "version": version, "created_at": created, "trigger": trigger, "operation": operation,
+                 "schema_version": SCHEMA_VERSION, "is_snapshot": is_snapshot} for entry in entries]
+        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+
+    def _repeat(self, version: int, *, trigger: str, operation: str, is_snapshot: bool = False) -> int:
+        """A new version that points to the files of a stored one; table folders never change, so nothing is copied."""
+        now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+        latest = self.latest_version()
+        self._append([row.asDict() for row in self._entries(version)], latest + 1, now, trigger, operation, is_snapshot)
+        return latest + 1
+
     def _entries(self, version: int) -> list:
         """At most one row per table name."""
         return self.manifest().filter(F.col("version") == version).collect()
@@ -201,15 +226,19 @@ class GraphStore:
         })
 
     def snapshot(self, graph: Graph | None = None, *, trigger: str, operation: str) -> int:
-        """Full export of ``graph`` (or of the newest version) that is validated before it counts."""
-        version = self.commit((graph or self.read()).tables(), trigger=trigger, operation=operation, is_snapshot=True)
+        """A validated version that retention counts: of ``graph``, or of the newest version without copying it."""
+        latest = self.latest_version()
+        if graph is None and latest:
+            version = self._repeat(latest, trigger=trigger, operation=operation, is_snapshot=True)
+        else:
+            version = self.commit((graph or self.read()).tables(), trigger=trigger, operation=operation, is_snapshot=True)
         issues = self.validate(version)
         if issues:
             raise ValueError(f"snapshot {version} is not valid: {issues}")
         return version
 
     def validate(self, version: int) -> list[str]:
-        """Problems of a stored version: schema version, row counts, checksums. Reports, never raises."""
+        """Problems of a stored version: schema version, files, row counts, checksums. Reports, never raises."""
         issues = []
         entries = self._entries(version)
         if not entries:
@@ -222,6 +251,8 @@ class GraphStore:
             if not self._exists(entry["path"]):
                 issues.append(f"{name}: files missing")
                 continue
+            if self._files(entry["path"]) != {key: entry[key] for key in ("file_count", "file_checksum")}:
+                issues.append(f"{name}: files differ")
             found = self._read(entry["path"], name).agg(
                 *fingerprint(model.empty(self.spark, TABLE_SCHEMAS[name]))).first()
             if found["row_count"] != entry["row_count"]:
@@ -236,7 +267,7 @@ class GraphStore:
         if issues:
             raise ValueError(f"version {version} cannot be restored: {issues}")
         self.snapshot(trigger="restore", operation=f"pre_restore:{version}")
-        restored = self.commit(self.read(version).tables(), trigger="restore", operation=f"restore:{version}")
+        restored = self._repeat(version, trigger="restore", operation=f"restore:{version}")
         old = {row["table"]: row["row_count"] for row in self._entries(version)}
         new = {row["table"]: row["row_count"] for row in self._entries(restored)}
         if old != new:
@@ -258,8 +289,21 @@ class GraphStore:
         )
 
     def prunable(self, keep: int, protected: list[int] | None = None) -> DataFrame:
-        """Snapshots beyond the ``keep`` newest that are not protected; deleting folders stays with the owner."""
+        """Snapshots beyond the ``keep`` newest that are not protected; the newest version is none of them."""
         snapshots = self.manifest().filter(F.col("is_snapshot")).select("version", "created_at").distinct()
         newest = snapshots.orderBy(F.desc("created_at"), F.desc("version")).limit(max(1, keep))
-        old = snapshots.join(newest.select("version"), "version", "left_anti")
+        old = snapshots.join(newest.select("version"), "version", "left_anti").filter(F.col("version") != self.latest_version())
         return old.filter(~F.col("version").isin(*protected)) if protected else old
+
+    def prune(self, keep: int = KEPT_SNAPSHOTS, protected: list[int] | None = None) -> list[int]:
+        """Take the prunable snapshots out of the manifest and delete the table folders that no version points to."""
+        gone = sorted(row["version"] for row in self.prunable(keep, protected).collect())
+        if not gone:
+            return []
+        before = {row["path"] for row in self.manifest().select("path").distinct().collect()}
+        self.spark.createDataFrame([(version,) for version in gone], "version long").coalesce(1).write.mode("append").parquet(f"{self.root}/pruned")
+        after = {row["path"] for row in self.manifest().select("path").distinct().collect()}
+        for path in before - after:
+            handle = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            handle.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(handle, True)
+        return gone

@@ -44,7 +44,7 @@ def resolve_mentions(mentions: DataFrame, entities: DataFrame, aliases: DataFram
 
 def capabilities_by_department(processes: DataFrame, capabilities: DataFrame) -> DataFrame:
     """(process_id, capability) through the department dimension (department, capability)."""
-    return processes.select("process_id", "department").join(F.broadcast(capabilities), "department").select(
+    return processes.select("process_id", "department").join(capabilities, "department").select(
         "process_id", "capability").distinct()
 
 
@@ -115,15 +115,3 @@ def build_model(processes: DataFrame, entities: DataFrame, relations: DataFrame,
         edges.dropDuplicates(["identifier"]),
         texts.distinct().orderBy("assumption"))
 
-
-def motivation_edges(capabilities: DataFrame, actors: DataFrame, goals: DataFrame, requirement_key: str) -> DataFrame:
-    """Realization of every goal key by every capability, and association of every actor with the requirement.
-
-    ``goals`` (key) is a fixed short list and is exploded next to each capability.
-    """
-    listed = [row["key"] for row in goals.limit(101).collect()]
-    if len(listed) > 100:
-        raise ValueError("the goal list is meant to be short")
-    spread = capabilities.select("capability", F.explode(F.array(*[F.lit(key) for key in listed])).alias("goal"))
-    return _edge(spread, _key("capability", F.col("capability")), "Realization", F.col("goal")).unionByName(
-        _edge(actors, _key("actor", F.col("name")), "Association", F.lit(requirement_key)))

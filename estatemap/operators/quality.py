@@ -64,18 +64,20 @@ def validate_entities(rows: DataFrame, id_column: str = "id", name_column: str =
         text.entity_type(_column(rows, "entity_type")).alias("_type"),
         text.server_type(_column(rows, "server_type")).alias("_server"),
     )
-    firsts = prepared.filter(F.col("_id").isNotNull()).groupBy("_id").agg(F.min("line_number").alias("_first"))
+    # Rows without id are decided by themselves; together they would be one key of the join.
+    without = prepared.filter(F.col("_id").isNull()).select("line_number", F.col("_id").alias("entity_id"), F.lit("id_missing").alias("code"))
+    identified = prepared.filter(F.col("_id").isNotNull())
+    firsts = identified.groupBy("_id").agg(F.min("line_number").alias("_first"))
     code = (
-        F.when(F.col("_id").isNull(), "id_missing")
-        .when(F.col("line_number") > F.col("_first"), "duplicate_id")
+        F.when(F.col("line_number") > F.col("_first"), "duplicate_id")
         .when(F.col("_name").isNull(), "name_missing")
         .when(~F.col("_type").isin(*model.ENTITY_TYPES), "unknown_type")
         .when((F.col("_type") == "server") & F.col("_server").isNotNull()
               & ~F.col("_server").isin(*model.SERVER_TYPES), "unknown_server_type")
     )
     return (
-        prepared.join(firsts, "_id", "left").withColumn("code", code).filter(F.col("code").isNotNull())
-        .select("line_number", F.col("_id").alias("entity_id"), "code")
+        identified.join(firsts, "_id").withColumn("code", code).filter(F.col("code").isNotNull())
+        .select("line_number", F.col("_id").alias("entity_id"), "code").unionByName(without)
     )
 
 
@@ -159,20 +161,27 @@ def graph_reference_issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def edge_conformance(edges: DataFrame) -> DataFrame:
     """Edge shapes outside the allowed pattern list, with their number.
 
-    Shapes are counted first; only the handful of distinct triples meets the pattern table.
+    The shape is tested against literals, so parts of the edges whose type and labels are constant are
+    decided when the plan is made.
     """
-    shapes = edges.groupBy("rel_type", "src_label", "dst_label").agg(F.count(F.lit(1)).alias("edge_count"))
-    patterns = F.broadcast(model.pattern_table(edges.sparkSession))
+    def shape_in(shapes: list[tuple[str, str, str]]) -> Column:
+        return F.struct("rel_type", "src_label", "dst_label").isin(*[
+            F.struct(*[F.lit(part).alias(name) for name, part in zip(("rel_type", "src_label", "dst_label"), shape)])
+            for shape in shapes])
+
     labels = list(model.LABEL_PROPERTIES)
-    known_labels = F.col("src_label").isin(*labels) & F.col("dst_label").isin(*labels)
-    odd = shapes.join(patterns, ["rel_type", "src_label", "dst_label"], "left_anti").filter(
-        ~(F.col("rel_type").isin(*model.FREE_RELATIONS) & known_labels))
+    known_labels = F.coalesce(F.col("src_label").isin(*labels) & F.col("dst_label").isin(*labels), F.lit(False))
+    allowed = [(rel, *pair) for rel, pairs in model.EDGE_PATTERNS.items() for pair in pairs]
+    free = F.coalesce(F.col("rel_type").isin(*model.FREE_RELATIONS), F.lit(False)) & known_labels
     code = (
-        F.when(~F.col("rel_type").isin(*model.RELATION_TYPES), "unknown_type")
+        F.when(~F.coalesce(F.col("rel_type").isin(*model.RELATION_TYPES), F.lit(False)), "unknown_type")
         .when(~known_labels, "unknown_label")
         .otherwise("pair_not_allowed")
     )
-    return odd.withColumn("code", code)
+    return (
+        edges.filter(~shape_in(allowed) & ~free)
+        .groupBy("rel_type", "src_label", "dst_label").agg(F.count(F.lit(1)).alias("edge_count"))
+        .withColumn("code", code))
 
 
 def property_conformance(nodes: DataFrame) -> DataFrame:

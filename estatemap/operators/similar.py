@@ -83,6 +83,8 @@ def _sharing_grams(left: DataFrame, right: DataFrame, lengths: DataFrame, ratio:
 def ratio_candidates(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
     """Distinct (grp, a, b) that hold every pair whose ratio reaches the need of its right-hand text.
 
+    At two thirds and below q-grams promise nothing: only the lengths are joined, and the pairs grow with the product
+    of the texts of fitting length. Such ratios are for small vocabularies.
     ``left`` has grp and text, ``right`` has grp, text and need (never below ``ratio``); both are distinct.
     """
     left = left.withColumn("len", F.char_length("text"))
@@ -100,7 +102,6 @@ def ratio_candidates(left: DataFrame, right: DataFrame, ratio: float) -> DataFra
     left = left.join(lengths.select(F.col("la").alias("len")).distinct(), "len", "left_semi")
     right = right.join(lengths.select(F.col("lb").alias("len")).distinct(), "len", "left_semi")
     if ratio <= 2 / 3:
-        # Below two thirds q-grams promise nothing; only the length equi-join is lossless.
         a = left.select("grp", F.col("text").alias("a"), F.col("len").alias("la")).join(lengths, "la")
         pairs = a.join(right.select("grp", F.col("text").alias("b"), F.col("len").alias("lb"), "need"), ["grp", "lb"])
         pairs = pairs.select("grp", "a", "b", "need")
@@ -114,17 +115,21 @@ def ratio_candidates(left: DataFrame, right: DataFrame, ratio: float) -> DataFra
     )
 
 
-def _by_rarest_token(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """(inner, outer) key pairs where the outer key holds the rarest token of the inner one."""
-    outer_tokens = outer.select(F.col("key").alias("outer"), F.explode("tokens").alias("token"))
-    freq = outer_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-    rarest = (
-        inner.select(F.col("key").alias("inner"), F.explode("tokens").alias("token"))
-        .join(freq, "token", "left")
-        .groupBy("inner")
-        .agg(F.min_by("token", F.struct(F.coalesce("freq", F.lit(0)), "token")).alias("token"))
-    )
-    return rarest.join(outer_tokens, "token").select("inner", "outer")
+def _by_rarest_tokens(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer) key pairs where the outer key holds the two rarest tokens of the inner one.
+
+    Both sides have two tokens at least. Joined on one token, names of a small vocabulary would meet in large groups.
+    """
+    freq = outer.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    ranked = (
+        inner.select(F.col("key").alias("inner"), F.explode("tokens").alias("token")).join(freq, "token", "left")
+        .withColumn("rank", F.row_number().over(Window.partitionBy("inner").orderBy(F.coalesce("freq", F.lit(0)), "token")))
+        .filter("rank <= 2"))
+    rarest = ranked.groupBy("inner").agg(F.min("token").alias("low"), F.max("token").alias("high"))
+    each = outer.select(F.col("key").alias("outer"), F.array_sort("tokens").alias("sorted"))
+    firsts = each.select("outer", "sorted", F.posexplode("sorted").alias("at", "low"))
+    pairs = firsts.select("outer", "low", F.explode(F.expr("slice(sorted, at + 2, size(sorted))")).alias("high"))
+    return rarest.join(pairs, ["low", "high"]).select("inner", "outer")
 
 
 def containment_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -133,8 +138,8 @@ def containment_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
         side.select("key", tokens(F.col("key")).alias("tokens")).filter(F.size("tokens") >= 2).distinct()
         for side in (left, right)
     ]
-    inside = _by_rarest_token(ours, theirs).select(F.col("inner").alias("a"), F.col("outer").alias("b"))
-    around = _by_rarest_token(theirs, ours).select(F.col("outer").alias("a"), F.col("inner").alias("b"))
+    inside = _by_rarest_tokens(ours, theirs).select(F.col("inner").alias("a"), F.col("outer").alias("b"))
+    around = _by_rarest_tokens(theirs, ours).select(F.col("outer").alias("a"), F.col("inner").alias("b"))
     a, b = tokens(F.col("a")), tokens(F.col("b"))
     subset = (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
     return inside.unionByName(around).filter(subset).distinct()

@@ -69,11 +69,11 @@ def resolve_seeds(graph: Graph, values: DataFrame) -> DataFrame:
 
 
 def expand(graph: Graph, seeds: DataFrame, rel_types: list[str] | None = None, *, max_hops: int | None = None,
-           budget: int | None = NODE_BUDGET) -> Subgraph:
+           budget: int | None = None) -> Subgraph:
     """Rings around the seeds along undirected edges.
 
-    Without types: every confirmed type, two hops. With types: until nothing new is found, the budget is
-    passed, or ``max_hops``. A ring is never cut in here, see :func:`ring_budget`. Each ring is
+    Without types: every confirmed type, two hops unless ``max_hops`` says otherwise. With types: until nothing new is
+    found or ``max_hops``. A ``budget`` of nodes, such as ``NODE_BUDGET`` for a picture, ends it earlier. A ring is never cut in here, see :func:`ring_budget`. Each ring is
     checkpointed, so neither the plan nor the recomputation after a lost executor grows with the depth.
     """
     types = rel_types or list(model.CONFIRMED_RELATIONS)
@@ -85,6 +85,8 @@ def expand(graph: Graph, seeds: DataFrame, rel_types: list[str] | None = None, *
     both = F.array(
         F.struct(F.col("src_id").alias("node_id"), F.col("dst_id").alias("next_id")),
         F.struct(F.col("dst_id").alias("node_id"), F.col("src_id").alias("next_id")))
+    # Every ring reads the links; they are computed once.
+    links = cut_lineage(links.select("src_id", "dst_id", "rel_type"))
     steps = links.select(F.explode(both).alias("s")).select("s.*")
     reached = cut_lineage(seeds.select("node_id").distinct().withColumn("depth", F.lit(0)))
     total = reached.count()

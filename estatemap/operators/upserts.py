@@ -236,20 +236,24 @@ def _ordered(matches: DataFrame) -> DataFrame:
     return matches.withColumn("_order", F.struct("doc_ordinal", "position", F.coalesce("ordinal", F.lit(-1))))
 
 
-def serves_edges(graph: Graph, matches: DataFrame, processes: DataFrame) -> Graph:
+def serves_edges(graph: Graph, matches: DataFrame, last_matches: DataFrame, processes: DataFrame) -> Graph:
     """SERVES for strong matches and decisions; unknown applications are created.
 
+    All ``matches`` name applications; edges come from ``last_matches``, those of the last document of a process.
     Per pair the first decision stays, otherwise the last strong match wins. ``processes`` is (process_id, dst_id).
     """
     decided = F.col("source").isin(model.KNOWN, model.KNOWN_MANUAL)
-    rows = _ordered(matches).filter(
-        (F.coalesce("cmdb_id", F.lit("")) != "") & ((F.col("confidence") == model.STRONG) | decided)
-    ).withColumn("_name", F.coalesce("matched_name", "application_name"))
+
+    def strong(matches: DataFrame) -> DataFrame:
+        return _ordered(matches).filter(
+            (F.coalesce("cmdb_id", F.lit("")) != "") & ((F.col("confidence") == model.STRONG) | decided))
+
+    rows = strong(matches).withColumn("_name", F.coalesce("matched_name", "application_name"))
     names = rows.groupBy(F.col("cmdb_id").alias("key")).agg(
         F.max_by("_name", "_order").alias("name"), F.lit(0).alias("ordinal"))
     graph, actions = _upsert(graph, "Application", "cmdb_id", names,
                              {"cmdb_id": F.col("key"), "id": F.col("key"), "name": F.col("name")})
-    pairs = rows.join(actions.select(F.col("key").alias("cmdb_id"), F.col("node_id").alias("src_id")), "cmdb_id").join(
+    pairs = strong(last_matches).join(actions.select(F.col("key").alias("cmdb_id"), F.col("node_id").alias("src_id")), "cmdb_id").join(
         processes, "process_id").select(
         "src_id", "dst_id", "confidence", F.col("application_name").alias("raw_name"),
         scoring.serves_source(F.col("source")).alias("source"), decided.alias("_decided"),
@@ -275,16 +279,18 @@ def may_serve_edges(graph: Graph, matches: DataFrame, processes: DataFrame) -> G
     return _put_edges(graph, ["MAY_SERVE"], kept.unionByName(fresh))
 
 
-def role_edges(graph: Graph, documents: DataFrame, processes: DataFrame) -> Graph:
-    """PARTICIPATES_IN for every role of a document; roles are created by name."""
-    pairs = documents.select("process_id", F.explode("roles").alias("name")).distinct()
+def role_edges(graph: Graph, documents: DataFrame, last_documents: DataFrame, processes: DataFrame) -> Graph:
+    """PARTICIPATES_IN for the roles of each process's last document; the roles of all are created by name."""
+    last = last_documents.select("process_id", F.explode("roles").alias("name"), F.lit(True).alias("_last"))
+    pairs = (documents.select("process_id", F.explode("roles").alias("name")).distinct()
+             .join(last.distinct(), ["process_id", "name"], "left"))
     existing = graph.label("Role").groupBy("name").agg(F.min("node_id").alias("_stored"))
     placed = pairs.join(existing, "name", "left").withColumn("src_id", F.coalesce("_stored", node_id("Role", F.col("name"))))
     placed = cut_lineage(placed)
     fresh = placed.filter(F.col("_stored").isNull()).select(
         F.lit("Role").alias("label"), F.col("src_id").alias("node_id"), "name").distinct()
     graph = _put_nodes(graph, "Role", graph.label("Role").unionByName(conform(fresh, model.NODE_SCHEMA)))
-    edges = edge_rows(placed.join(processes, "process_id").select("src_id", "dst_id").distinct(),
+    edges = edge_rows(placed.filter("_last").join(processes, "process_id").select("src_id", "dst_id").distinct(),
                       "PARTICIPATES_IN", "Role", "Process")
     return merge_edges(graph, "PARTICIPATES_IN", edges)
 
@@ -311,12 +317,15 @@ def write_documents(graph: Graph, documents: DataFrame, matches: DataFrame, *,
                     replace_follows: bool = False) -> tuple[Graph, DataFrame]:
     """Bring extracted documents and their matches into the graph; re-running changes nothing.
 
-    ``documents`` has process_id, process_name, roles, follows_after and ordinal (the later document wins
-    per process). Returns the graph and (process_id, node_id, action).
+    ``documents`` has process_id, process_name, source_path, roles, follows_after and ordinal. Of several documents
+    of a process each adds its roles, predecessors and applications as nodes; the last one alone decides the
+    process name and the edges that a document replaces (SERVES, MAY_SERVE, PARTICIPATES_IN). Returns the graph
+    and (process_id, node_id, action).
     """
-    documents = last_by(documents, ["process_id"], [F.col("ordinal")])
-    winners = documents.select("process_id", "source_path", F.col("ordinal").alias("doc_ordinal"))
-    matches = matches.join(winners, ["process_id", "source_path"])
+    latest = documents.groupBy("process_id").agg(F.max("ordinal").alias("doc_ordinal"))
+    numbered = matches.join(documents.select("process_id", "source_path", F.col("ordinal").alias("doc_ordinal")), ["process_id", "source_path"])
+    last_matches = numbered.join(latest, ["process_id", "doc_ordinal"], "left_semi")
+    last_documents = documents.join(latest, (documents["process_id"] == latest["process_id"]) & (F.col("ordinal") == F.col("doc_ordinal")), "left_semi")
     graph, actions = upsert_processes(graph, documents)
     processes = actions.select("process_id", F.col("node_id").alias("dst_id"))
     scope = ["SERVES", "MAY_SERVE", "PARTICIPATES_IN"]
@@ -325,10 +334,10 @@ def write_documents(graph: Graph, documents: DataFrame, matches: DataFrame, *,
     old = graph.relation("NUTZT").join(processes.select(F.col("dst_id").alias("src_id")), "src_id", "left_anti")
     graph = _put_edges(graph, [*scope, "NUTZT"], cleared.select(*model.EDGE_SCHEMA.names).unionByName(
         old.select(*model.EDGE_SCHEMA.names)))
-    graph = role_edges(graph, documents, processes)
+    graph = role_edges(graph, documents, last_documents, processes)
     graph = follows_edges(graph, documents, processes, replace=replace_follows)
-    graph = serves_edges(graph, matches, processes)
-    return may_serve_edges(graph, matches, processes), actions
+    graph = serves_edges(graph, numbered, last_matches, processes)
+    return may_serve_edges(graph, last_matches, processes), actions
 
 
 # Owners and roles -----------------------------------------------------------------------------------

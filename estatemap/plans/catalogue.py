@@ -5,6 +5,8 @@ Counts are independent aggregates: a label without nodes gives 0 instead of no r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,12 +51,16 @@ def units_without_process(graph: Graph) -> DataFrame:
 def ownerless_counts(graph: Graph) -> DataFrame:
     """How many processes, applications, interfaces and servers have no responsible unit, as one row."""
     labels = ["Process", "Application", "Interface", "Server"]
-    owned = graph.edges.filter(
-        (F.col("rel_type") == "RESPONSIBLE_FOR") & (F.col("src_label") == "OrgUnit") & F.col("dst_label").isin(*labels)
-    ).select(F.col("dst_id").alias("node_id"))
-    free = graph.nodes.filter(F.col("label").isin(*labels)).select("label", "node_id").join(owned, "node_id", "left_anti")
-    return free.agg(*[
-        F.count_if(F.col("label") == label).alias(f"ownerless_{label.lower()}_count") for label in labels
+
+    def free(label: str) -> DataFrame:
+        owned = graph.relation("RESPONSIBLE_FOR", "OrgUnit", label).select(F.col("dst_id").alias("node_id"))
+        return graph.label(label).select("label", "node_id").join(owned, "node_id", "left_anti").groupBy("label").agg(
+            F.count(F.lit(1)).alias("n"))
+
+    counts = reduce(DataFrame.unionByName, [free(label) for label in labels])
+    return counts.agg(*[
+        F.coalesce(F.sum(F.when(F.col("label") == label, F.col("n"))), F.lit(0)).alias(f"ownerless_{label.lower()}_count")
+        for label in labels
     ])
 
 

@@ -12,7 +12,6 @@ from estatemap.functions import text
 from estatemap.functions.naming import base_name, text_or
 from estatemap.operators.tables import last_by, require
 
-HEAD_BYTES = 4096
 # Canonical column -> column of the export; callers pass their own names.
 DEFAULT_COLUMNS = {
     "id": "id", "name": "name", "entity_type": "entity_type", "server_type": "server_type", "owner_name": "owner_name",
@@ -25,20 +24,23 @@ class MasterDataError(ValueError):
 
 
 def file_heads(spark: SparkSession, path: str, *, recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """(path, head, header, separator) per file; only the first bytes of each file are decoded.
+    """(path, header, separator) per file that has a line; the header is the first one that is not blank.
 
-    The separator is the one of comma and semicolon that is more frequent in the header line.
+    The separator is the one of comma and semicolon that is more frequent in the header, outside of quotes.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    head = F.decode(F.substring(F.col("content"), 1, HEAD_BYTES), "utf-8")
-    lines = F.split(F.regexp_replace(head, "^﻿", ""), "\r\n|\r|\n")
+    lines = (
+        reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                                 F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+        .filter((F.col("block") == 0) & (F.trim("value") != "")))
     outside = F.regexp_replace(F.col("header"), '"(?:[^"]|"")*"', "")
     commas = F.char_length(F.regexp_replace(outside, "[^,]", ""))
     semicolons = F.char_length(F.regexp_replace(outside, "[^;]", ""))
+    first = Window.partitionBy("path").orderBy("at")
     return (
-        reader.load(path).select("path", F.get(lines, F.lit(0)).alias("header"))
+        lines.withColumn("turn", F.row_number().over(first)).filter("turn = 1").select("path", F.col("value").alias("header"))
         .withColumn("separator", F.when(semicolons > commas, ";").otherwise(","))
     )
 
@@ -61,21 +63,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return handle.getFileSystem(spark._jsc.hadoopConfiguration()).exists(handle)
 
 
-def read_master_csv(spark: SparkSession, path: str, id_column: str = "id", name_column: str = "name") -> DataFrame:
+def read_master_csv(spark: SparkSession, path: str, id_column: str = "id", name_column: str = "name", *,
+                    multi_line: bool = True) -> DataFrame:
     """All-string rows of one export, with ``line_number``.
 
-    Line numbers follow the order of the rows in the file; they are ordered, not gapless, because a
-    large file is read in several splits.
+    With ``multi_line`` quoted fields may hold line breaks and a file is parsed by one task; without it a large
+    file is read in several splits. Line numbers follow the order of the rows in the file and are not gapless.
     """
     if not _exists(spark, path):
         raise MasterDataError(f"master data file not found: {path}")
     head = file_heads(spark, path).first()
     if head is None or not text_of(head["header"]):
         raise MasterDataError(f"master data file has no header: {path}")
-    # Quoted line breaks need whole-file parsing; a file without them is split over many tasks.
     reader = (
         spark.read.option("header", "true").option("sep", head["separator"]).option("encoding", "UTF-8")
-        .option("escape", '"').option("multiLine", str(_has_quoted_breaks(spark, path)).lower()))
+        .option("escape", '"').option("multiLine", str(multi_line).lower()))
     rows = reader.csv(path)
     missing = [name for name in (id_column, name_column) if name not in rows.columns]
     if missing:
@@ -88,12 +90,6 @@ def text_of(value: str | None) -> str:
     return (value or "").strip()
 
 
-def _has_quoted_breaks(spark: SparkSession, path: str) -> bool:
-    """A line with an odd number of quotes means that a quoted field goes on in the next line."""
-    odd = F.char_length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
-    return bool(spark.read.text(path).filter(odd).limit(1).take(1))
-
-
 def rename_columns(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Canonical names for the export's columns; absent optional columns become null."""
     present = set(rows.columns)
@@ -236,7 +232,11 @@ def read_inventory(spark: SparkSession, path: str, texts: DataFrame) -> DataFram
         text.list_items(F.col("mentioned_applications")).alias("mentioned_applications"), "line_number")
     files = texts.select("path", "text", base_name(F.col("path")).alias("file"))
     declared = files.select(F.col("file").alias("txt_file"), F.col("path").alias("_declared"))
-    prefixed = files.groupBy(F.lower(F.regexp_extract("file", "^([^_]*)_", 1)).alias("_id")).agg(F.min("path").alias("_guess"))
+    # Every start of the file name that ends before an underscore may be the id.
+    pieces = F.split(F.lower("file"), "_")
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda n: F.array_join(F.slice(pieces, 1, n), "_"))
+    prefixed = (files.filter(F.contains("file", F.lit("_"))).select("path", F.explode(starts).alias("_id"))
+                .groupBy("_id").agg(F.min("path").alias("_guess")))
     placed = (
         records.join(declared, "txt_file", "left")
         .join(prefixed, F.lower("process_id") == F.col("_id"), "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from estatemap import model
 from estatemap.graph import Graph, GraphStore
 from estatemap.operators import decisions, matching, merging, quality, upserts
+from estatemap.operators.tables import conform
 from estatemap.plans import catalogue, import_run
 from estatemap.sources import documents as docs
 from estatemap.sources import master_data
@@ -169,6 +170,25 @@ def test_store_snapshot_restore(spark, imported, tmp_path):
     assert store.validate(1)
 
 
+def test_store_sees_files_and_prunes(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "store"))
+    node = spark.createDataFrame([("Process", "Process:1", "One")], "label string, node_id string, name string")
+    graph = Graph(conform(node, model.NODE_SCHEMA), model.empty(spark, model.EDGE_SCHEMA))
+    first = store.commit(graph.tables(), trigger="test", operation="first")
+    path = [r.path for r in store.manifest().filter("table = 'nodes'").collect()][0]
+    kept = [store.snapshot(trigger="test", operation=f"keep {i}") for i in range(3)]
+    # Snapshots of an unchanged graph point to the same files.
+    assert store.manifest().select("path").distinct().count() == store.manifest().filter("version = 1").count()
+    changed = store.commit({"nodes": graph.nodes.limit(0)}, trigger="test", operation="drop")
+    other = store.snapshot(trigger="test", operation="other")
+    assert store.prune(2) == kept[:2] and store.prune(2) == [] and store.validate(kept[2]) == [] and store.validate(first) == []
+    assert store.prune(1, protected=[kept[2]]) == [] and store.read().nodes.count() == 0 and store.read(other).nodes.count() == 0
+    restored = store.restore(kept[2])
+    assert store.read(restored).nodes.count() == 1 and store.validate(changed) == []
+    conform(node, model.NODE_SCHEMA).drop("label").write.mode("append").parquet(f"{path}/label=Process")
+    assert store.validate(first) == ["nodes: files differ", "nodes: row count differs"] and store.validate(changed) == []
+
+
 def test_match_cascade_cases(spark):
     mention = "source_path string, process string, process_id string, application_name string, position int"
     mentions = spark.createDataFrame([

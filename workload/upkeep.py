@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from dataclasses import replace
 
+from pyspark.sql import functions as F
 
 from estatemap.operators import aliases, decisions, exchange, merging, modelgen, upserts
 from estatemap.sources import bpmn
@@ -34,8 +35,7 @@ def _sync(spark, folder):
     g = graph(spark, folder)
     relations = query(spark, folder, "SELECT CAST(s_suppkey AS STRING) AS source_id, 'RUNS_ON' AS relation_type, CAST(s_nationkey + 5 AS STRING) AS target_id FROM {supplier}")
     owners = query(spark, folder, "SELECT CAST(s_suppkey AS STRING) AS entity_id, CASE WHEN s_acctbal > 5000 THEN 'asia' ELSE 'New Unit' END AS org_unit_name FROM {supplier}")
-    entities = query(spark, folder, EXPORT).filter("entity_id not like 'C%'")
-    return upserts.sync_master_data(g, entities, relations, owners)
+    return upserts.sync_master_data(g, query(spark, folder, EXPORT), relations, owners)
 
 
 register("master_data_sync",
@@ -60,10 +60,15 @@ register("process_actions",
     lambda spark, folder: upserts.upsert_processes(graph(spark, folder), query(spark, folder, INCOMING))[1].select("process_id", "action"))
 
 DOCUMENTS = ("SELECT CAST(p_partkey AS STRING) AS process_id, p_name AS process_name, concat('doc ', p_partkey) AS source_path, p_partkey AS ordinal, "
-             "array(p_type, p_brand) AS roles, array(concat('after ', p_type)) AS follows_after FROM {part}")
+             "array(p_type, p_brand) AS roles, array(concat('after ', p_type)) AS follows_after FROM {part} UNION ALL "
+             # An earlier document of the same process: its roles, predecessors and applications stay as nodes.
+             "SELECT CAST(p_partkey AS STRING), concat('early ', p_name), concat('old ', p_partkey), -1 - p_partkey, "
+             "array(concat('early ', p_brand)), array(concat('before ', p_type)) FROM {part}")
 WRITTEN = ("SELECT DISTINCT CAST(l_partkey AS STRING) AS process_id, concat('doc ', l_partkey) AS source_path, CAST(l_suppkey AS STRING) AS cmdb_id, "
            "concat('raw ', l_suppkey) AS application_name, concat('App ', l_suppkey) AS matched_name, CASE WHEN l_returnflag = 'A' THEN 'stark' ELSE 'schwach' END AS confidence, "
-           "'fuzzy' AS source, CAST(0.9 AS DOUBLE) AS score, l_suppkey AS position, CAST(0 AS BIGINT) AS ordinal FROM {lineitem}")
+           "'fuzzy' AS source, CAST(0.9 AS DOUBLE) AS score, l_suppkey AS position, CAST(0 AS BIGINT) AS ordinal FROM {lineitem} UNION ALL "
+           "SELECT CAST(p_partkey AS STRING), concat('old ', p_partkey), concat('E', p_size), concat('raw ', p_size), concat('Early ', p_size), 'stark', 'fuzzy', "
+           "CAST(0.9 AS DOUBLE), CAST(p_size AS BIGINT), CAST(0 AS BIGINT) FROM {part}")
 
 
 def _written(spark, folder):
@@ -75,13 +80,15 @@ register("document_edges",
          f"{graph_sql()} SELECT rel_type, src_id, dst_id, NULL AS confidence, NULL::DOUBLE AS score FROM edges WHERE rel_type NOT IN ('SERVES', 'MAY_SERVE', 'PARTICIPATES_IN') "
          f"UNION ALL SELECT 'SERVES', src_id, dst_id, 'stark', NULL FROM ({_PAIR} = 'A') UNION ALL SELECT 'MAY_SERVE', src_id, dst_id, NULL, 0.9 FROM ({_PAIR} <> 'A') "
          "UNION ALL SELECT 'PARTICIPATES_IN', concat('Role:', r), concat('Process:', p_partkey), NULL, NULL FROM (SELECT DISTINCT p_partkey, unnest([p_type, p_brand]) AS r FROM part) "
-         "UNION ALL SELECT 'FOLLOWS', concat('Process:', p_partkey), concat('Process:', sha256(concat('Process||placeholder||after ', p_type))), NULL, NULL FROM part")(
+         "UNION ALL SELECT 'FOLLOWS', concat('Process:', p_partkey), concat('Process:', sha256(concat('Process||placeholder||after ', p_type))), NULL, NULL FROM part "
+         "UNION ALL SELECT 'FOLLOWS', concat('Process:', p_partkey), concat('Process:', sha256(concat('Process||placeholder||before ', p_type))), NULL, NULL FROM part")(
     lambda spark, folder: _written(spark, folder).edges.select(
         "rel_type", "src_id", "dst_id", F.when(F.col("rel_type") == "SERVES", F.col("confidence")).alias("confidence"),
         F.when(F.col("rel_type") == "MAY_SERVE", F.col("score")).alias("score")))
 register("document_nodes_after_cleanup",
          f"{graph_sql()} SELECT label, node_id, CASE WHEN label = 'Application' AND node_id IN (SELECT src_id FROM ({_PAIR} = 'A')) THEN replace(node_id, 'Application:', 'App ') "
-         "ELSE name END AS name FROM nodes UNION ALL SELECT DISTINCT 'Role', concat('Role:', r), r FROM (SELECT unnest([p_type, p_brand]) AS r FROM part)")(
+         "ELSE name END AS name FROM nodes UNION ALL SELECT DISTINCT 'Role', concat('Role:', r), r FROM (SELECT unnest([p_type, p_brand, concat('early ', p_brand)]) AS r FROM part) "
+         "UNION ALL SELECT DISTINCT 'Application', concat('Application:E', p_size), concat('Early ', p_size) FROM part")(
     lambda spark, folder: upserts.cleanup_placeholders(_written(spark, folder)).nodes.select("label", "node_id", "name"))
 
 # Owners, roles, units ----------------------------------------------------------------------------------
@@ -243,8 +250,13 @@ LINKS = (
 _KIND = "CASE WHEN p_size > 25 THEN 'Process' WHEN p_size > 15 THEN NULL ELSE 'Application' END"
 
 
+def _mapping(spark):
+    """The default with one element type that is left out without a report."""
+    return replace(exchange_source.default_mapping(spark), ignored=spark.createDataFrame([("Grouping",)], "element_type string"))
+
+
 def _judged(spark, folder):
-    mapping = exchange_source.default_mapping(spark)
+    mapping = _mapping(spark)
     labelled, _ = exchange.classify_elements(query(spark, folder, ELEMENTS), mapping)
     resolved = labelled.withColumns({
         "outcome": F.lit("new"), "node_id": F.concat("label", F.lit(":"), "archimate_id"), "resolved_name": F.col("name")})
@@ -258,17 +270,17 @@ register("judged_relations",
     lambda spark, folder: _judged(spark, folder).select("archimate_id", "archimate_rel_type", "src_label", "dst_label", "outcome"))
 register("skipped_element_types",
          "SELECT 'Thing' AS element_type, count(*) AS count FROM part WHERE p_size > 15 AND p_size <= 20 HAVING count(*) > 0")(
-    lambda spark, folder: exchange.classify_elements(query(spark, folder, ELEMENTS), exchange_source.default_mapping(spark))[1])
+    lambda spark, folder: exchange.classify_elements(query(spark, folder, ELEMENTS), _mapping(spark))[1])
 
 
 @register("exchange_import")
 def exchange_import(spark, folder):
     """Nodes after importing every part as an element next to the graph; similar names wait for review."""
-    outcome = exchange.import_exchange(graph(spark, folder), query(spark, folder, ELEMENTS), query(spark, folder, LINKS), exchange_source.default_mapping(spark))
+    outcome = exchange.import_exchange(graph(spark, folder), query(spark, folder, ELEMENTS), query(spark, folder, LINKS), _mapping(spark))
     return exchange.import_report(outcome)
 
 
-_TYPES = "CASE label WHEN 'Process' THEN 'BusinessProcess' WHEN 'Application' THEN 'ApplicationComponent' WHEN 'Interface' THEN 'ApplicationInterface' WHEN 'Server' THEN 'Device' WHEN 'OrgUnit' THEN 'BusinessActor' ELSE 'BusinessRole' END"
+_TYPES = "CASE label WHEN 'Process' THEN 'BusinessProcess' WHEN 'Application' THEN 'ApplicationComponent' WHEN 'Interface' THEN 'ApplicationInterface' WHEN 'Server' THEN 'Node' WHEN 'OrgUnit' THEN 'BusinessActor' ELSE 'BusinessRole' END"
 _EXPORTED = "('Process', 'Application', 'Interface', 'Server', 'OrgUnit', 'Role')"
 graph_query("exported_elements",
             f"SELECT node_id, label, name, concat('id-', substring(sha1(node_id), 1, 12)) AS identifier, {_TYPES} AS element_type FROM nodes WHERE label IN {_EXPORTED}")(
