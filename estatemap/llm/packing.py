@@ -37,7 +37,7 @@ SMALL = 256
 GROUPS = 96
 END_ID = 0
 #: Words, and parts of words, whose ids one worker remembers; a memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Words longer than this are tokenised anew each time.
 LONG_WORD = 64
 #: White space of the tokenizer's own splitting rule (fixed values). ``str.split`` takes four control characters more.
