@@ -8,20 +8,12 @@ from estatemap.functions import query as fn
 from estatemap.plans import catalogue
 from estatemap.plans.pattern import edge, match, order_by, page, union, union_all
 from workload.registry import graph_query
+from workload.star import edge_sql, node_sql
 
 A, P, S, I, O, R = "Application", "Process", "Server", "Interface", "OrgUnit", "Role"
 
-_N = "(SELECT * FROM nodes WHERE label = '{}')"
-
-
-def n(label):
-    return _N.format(label)
-
-
-def e(rel, src=None, dst=None):
-    where = f"rel_type = '{rel}'" + (f" AND src_label = '{src}'" if src else "") + (f" AND dst_label = '{dst}'" if dst else "")
-    return f"(SELECT * FROM edges WHERE {where})"
 
+n, e = node_sql, edge_sql
 
 SERVED = f"{n(A)} a JOIN {e('SERVES')} r ON r.src_id = a.node_id JOIN {n(P)} p ON p.node_id = r.dst_id"
 HOSTED = f"{n(A)} a JOIN {e('RUNS_ON', A, S)} h ON h.src_id = a.node_id JOIN {n(S)} s ON s.node_id = h.dst_id"

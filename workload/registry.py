@@ -27,7 +27,10 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def graph_query(name: str, sql: str | None):
     """Register a function of the projected graph; ``sql`` follows the graph's table expressions."""
-    full = None if sql is None else f"{star.graph_sql()}{sql}" if sql.startswith(",") else f"{star.graph_sql()} {sql}"
+    head = "" if sql is None else star.graph_sql(sql)
+    if sql is not None and sql.startswith(",") and not head:
+        sql = f"WITH {sql[1:]}"
+    full = None if sql is None else f"{head}{sql}" if sql.startswith(",") else f"{head} {sql}"
 
     def add(function: Callable[..., DataFrame]):
         register(name, full)(lambda spark, folder: function(star.graph(spark, folder)))

@@ -6,6 +6,8 @@ from the same projection, and the operators under test are expressed independent
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,12 +151,30 @@ def plain(sql: str) -> str:
     return sql
 
 
-def graph_sql() -> str:
-    """Common table expressions ``nodes``, ``edges``, ``aliases`` and ``alias_edges`` for the SQL side."""
-    node_part = " UNION ALL BY NAME ".join(
-        f"SELECT '{label}' AS label, * FROM ({plain(sql)})" for label, sql in NODES.items())
-    edge_part = " UNION ALL BY NAME ".join(
+def node_sql(label: str) -> str:
+    """The nodes of one label for the SQL side, without the others but with their columns."""
+    strings = ", ".join(f"NULL::VARCHAR AS {name}" for name in ("process_id", "cmdb_id", "id", "server_type"))
+    return (f"(SELECT '{label}' AS label, * FROM ({plain(NODES[label])}) UNION ALL BY NAME "
+            f"SELECT {strings}, NULL::BOOLEAN AS placeholder, NULL::BOOLEAN AS role_only WHERE false)")
+
+
+def edge_sql(rel_type: str, src_label: str | None = None, dst_label: str | None = None) -> str:
+    """The edges of one type (and shape) for the SQL side, without the others."""
+    return "(" + " UNION ALL BY NAME ".join(
         f"SELECT '{rel}' AS rel_type, '{src}' AS src_label, '{dst}' AS dst_label, * FROM ({plain(sql)})"
-        for (rel, src, dst), sql in EDGES.items())
-    return (f"WITH nodes AS ({node_part}), edges AS ({edge_part}), aliases AS ({plain(ALIASES)}), "
-            f"alias_edges AS ({plain(ALIAS_EDGES)})")
+        for (rel, src, dst), sql in EDGES.items()
+        if rel == rel_type and src_label in (None, src) and dst_label in (None, dst)) + ")"
+
+
+def graph_sql(query: str | None = None) -> str:
+    """``WITH`` and the table expressions ``nodes``, ``edges``, ``aliases`` and ``alias_edges``, each computed once.
+
+    Of ``query`` only those it names are given, and nothing where it names none.
+    """
+    parts = {
+        "nodes": " UNION ALL BY NAME ".join(f"SELECT * FROM {node_sql(label)}" for label in NODES),
+        "edges": " UNION ALL BY NAME ".join(f"SELECT * FROM {edge_sql(*shape)}" for shape in EDGES),
+        "aliases": plain(ALIASES), "alias_edges": plain(ALIAS_EDGES),
+    }
+    used = [name for name in parts if query is None or re.search(rf"\b{name}\b", query)]
+    return "WITH " + ", ".join(f"{name} AS MATERIALIZED ({parts[name]})" for name in used) if used else ""
