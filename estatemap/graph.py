@@ -20,6 +20,7 @@ TABLE_SCHEMAS = {
     "candidates": model.CANDIDATE_SCHEMA,
     "candidate_sources": model.CANDIDATE_SOURCE_SCHEMA,
     "decisions": model.DECISION_SCHEMA,
+    "merge_states": model.MERGE_STATE_SCHEMA,
 }
 PARTITION_COLUMN = {"nodes": "label", "edges": "rel_type"}
 

@@ -9,9 +9,11 @@ from estatemap import model
 from estatemap.functions import text
 from estatemap.functions.naming import node_id
 from estatemap.graph import Graph
+from estatemap.operators import merging
 from estatemap.operators.aliases import add_application_aliases, delete_aliases
 from estatemap.operators.tables import conform, first_by, last_by
 from estatemap.operators.upserts import EDGE_KEY, _of_types, _put_edges, _upsert, assign_roles, edge_rows, set_process_owners
+from estatemap.session import cut_lineage
 
 
 def decision_rows(rows: DataFrame, decision_type: str, payload: list[str], created_at: str, *, status: str = "active",
@@ -132,6 +134,27 @@ def assign_roles_logged(graph: Graph, rows: DataFrame, now: str) -> Graph:
         cleaned, "manual_role_assignment", ["role_name", "org_unit_name"], now))
 
 
+def merge_logged(graph: Graph, label: str, pairs: DataFrame, now: str) -> Graph:
+    """Merge ``pairs`` as one logged decision that any later session can take back."""
+    named = graph.label(label).select("node_id", "name")
+    names = pairs.join(named.toDF("source_id", "source"), "source_id").join(named.toDF("target_id", "target"), "target_id").agg(
+        F.min("source").alias("source_name"), F.min("target").alias("target_name"), F.count(F.lit(1)).alias("merged_count"),
+        F.bit_xor(F.xxhash64("source_id", "target_id")).alias("pairs_hash"))
+    rows = cut_lineage(decision_rows(names.withColumn("entity_type", F.lit(label)), "entity_merge",
+                                     ["entity_type", "source_name", "target_name", "merged_count", "pairs_hash"], now))
+    merged, kept = merging.merge_entities(graph, label, pairs, now[:10])
+    logged = record(merged, rows)
+    states = merging.record_rows(kept, F.lit(rows.first()["decision_id"]))
+    return logged.with_(merge_states=logged.merge_states.unionByName(states))
+
+
+def _undo_merges(graph: Graph, merges: DataFrame) -> Graph:
+    """Take back the merges that the caller listed, the newest first."""
+    for row in merges.orderBy(F.desc("created_at"), F.desc("decision_id")).collect():
+        graph = merging.undo_merge(graph, merging.stored_record(graph, row["decision_id"]))
+    return graph
+
+
 _PAYLOAD = ("process_id string, cmdb_id string, application_name string, matched_name string, org_unit_name string, "
             "role_name string, source_path string")
 
@@ -147,22 +170,22 @@ def _serves_to_drop(graph: Graph, payloads: DataFrame) -> DataFrame:
 
 
 def revert_decisions(graph: Graph, ids: DataFrame, now: str) -> tuple[Graph, DataFrame]:
-    """Undo active decisions and log it; merges are undone with their stored states, see ``merging.undo_merge``.
+    """Undo active decisions and log it. Exactly the edge of a decision goes; a merge gets its stored state back.
 
-    Exactly the edge of the decision goes. Returns the graph and (decision_id, outcome): reverted,
+    A merge whose objects were changed since stops everything with an error. Returns the graph and (decision_id, outcome): reverted,
     inactive, unsupported or unknown.
     """
     wanted = ids.select("decision_id").distinct()
     found = wanted.join(current_decisions(graph), "decision_id", "left")
-    handled = [kind for kind in model.REVERTIBLE_TYPES if kind != "entity_merge"]
     outcome = (
         F.when(F.col("decision_type").isNull(), "unknown")
         .when(F.col("status") != "active", "inactive")
-        .when(~F.col("decision_type").isin(*handled), "unsupported")
+        .when(~F.col("decision_type").isin(*model.REVERTIBLE_TYPES), "unsupported")
         .otherwise("reverted")
     )
     judged = found.withColumn("outcome", outcome)
     active = judged.filter(F.col("outcome") == "reverted")
+    graph = _undo_merges(graph, active.filter(F.col("decision_type") == "entity_merge"))
     payloads = active.select("decision_id", "decision_type", F.from_json("payload_json", _PAYLOAD).alias("p")).select(
         "decision_id", "decision_type", "p.*")
 
@@ -197,7 +220,3 @@ def affected_paths(decisions: DataFrame) -> DataFrame:
     """Documents to match again after the given decisions were undone."""
     return decisions.select(F.get_json_object("payload_json", "$.source_path").alias("source_path")).filter(
         F.coalesce("source_path", F.lit("")) != "").distinct()
-
-
-def expected_process_node(process_id: Column) -> Column:
-    return node_id("Process", process_id)

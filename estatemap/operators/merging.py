@@ -223,6 +223,37 @@ def undo_merge(graph: Graph, record: MergeRecord) -> Graph:
         aliases=aliases.unionByName(record.before.aliases))
 
 
+# Stored records --------------------------------------------------------------------------------------
+
+FOCUS_SCHEMA = T.StructType([T.StructField("node_id", T.StringType()), T.StructField("normalized_name", T.StringType())])
+_PARTS = {"nodes": model.NODE_SCHEMA, "edges": model.EDGE_SCHEMA, "alias_edges": model.ALIAS_EDGE_SCHEMA, "aliases": model.ALIAS_SCHEMA}
+
+
+def record_rows(record: MergeRecord, decision_id: Column) -> DataFrame:
+    """A merge record as rows of the graph's ``merge_states``."""
+    def rows(table: DataFrame, part: str, state: str, schema: T.StructType) -> DataFrame:
+        return table.select(decision_id.alias("decision_id"), F.lit(part).alias("part"), F.lit(state).alias("state"),
+                            F.to_json(F.struct(*schema.names)).alias("row_json"))
+
+    result = rows(record.focus, "focus", "both", FOCUS_SCHEMA)
+    for name, state in (("before", record.before), ("after", record.after)):
+        for part, schema in _PARTS.items():
+            result = result.unionByName(rows(getattr(state, part), part, name, schema))
+    return result
+
+
+def stored_record(graph: Graph, decision_id: str) -> MergeRecord:
+    """The record that :func:`record_rows` put into the graph."""
+    own = graph.merge_states.filter(F.col("decision_id") == decision_id)
+
+    def table(part: str, state: str, schema: T.StructType) -> DataFrame:
+        return own.filter((F.col("part") == part) & (F.col("state") == state)).select(
+            F.from_json("row_json", schema).alias("row")).select("row.*")
+
+    before, after = (State(**{part: table(part, state, schema) for part, schema in _PARTS.items()}) for state in ("before", "after"))
+    return MergeRecord(table("focus", "both", FOCUS_SCHEMA), before, after)
+
+
 # Preview ---------------------------------------------------------------------------------------------
 
 def _relationships(graph: Graph, pairs: DataFrame, side: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from estatemap.operators import aliases, decisions, exchange, merging, modelgen, upserts
 from estatemap.sources import bpmn
+from estatemap.session import cut_lineage
 from estatemap.sources import exchange as exchange_source
 from workload.registry import graph_query, register
 from workload.star import graph, graph_sql, plain, query, table
@@ -222,6 +223,30 @@ def _undone(spark, folder):
 
 register("undone_merge", f"{graph_sql()} SELECT rel_type, src_id, dst_id, source, score FROM edges")(
     lambda spark, folder: _undone(spark, folder).edges.select("rel_type", "src_id", "dst_id", "source", "score"))
+
+
+def _logged(spark, folder):
+    return decisions.merge_logged(graph(spark, folder), "Process", pairs(spark, folder), NOW)
+
+
+def _taken_back(spark, folder):
+    """The merge taken back by a later session, which finds the tables written."""
+    logged = _logged(spark, folder)
+    logged = logged.with_(**{name: cut_lineage(table) for name, table in logged.tables().items()})
+    merges = logged.decisions.filter("decision_type = 'entity_merge'").select("decision_id")
+    return decisions.revert_decisions(logged, merges, "2024-05-02T00:00:00Z")[0]
+
+
+register("merge_log",
+         f"WITH w AS ({plain(PAIRS)}) SELECT 'entity_merge' AS decision_type, 'active' AS status, CAST(count(*) AS VARCHAR) AS merged_count, 'Process' AS entity_type, "
+         "(SELECT min(p_name) FROM part JOIN w ON source_id = 'Process:' || p_partkey) AS source_name FROM w")(
+    lambda spark, folder: decisions.current_decisions(_logged(spark, folder)).select(
+        "decision_type", "status", *[F.get_json_object("payload_json", f"$.{name}").alias(name) for name in ("merged_count", "entity_type", "source_name")]))
+register("reverted_merge", f"{graph_sql()} SELECT rel_type, src_id, dst_id, source, score FROM edges")(
+    lambda spark, folder: _taken_back(spark, folder).edges.select("rel_type", "src_id", "dst_id", "source", "score"))
+register("reverted_merge_log",
+         "SELECT unnest(['entity_merge', 'decision_revert']) AS decision_type, 'reverted' AS status")(
+    lambda spark, folder: decisions.current_decisions(_taken_back(spark, folder)).select("decision_type", "status"))
 register("merge_summary",
          f"{graph_sql()}, w AS ({plain(PAIRS)}), k AS (SELECT src_id AS at_id, 'o' || rel_type || dst_id AS k, 'o' AS d FROM edges UNION ALL SELECT dst_id, 'i' || rel_type || src_id, 'i' FROM edges) "
          "SELECT w.source_id, w.target_id, count(*) FILTER (k.d = 'o') AS outgoing, count(*) FILTER (k.d = 'i') AS incoming, "
