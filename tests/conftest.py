@@ -10,10 +10,9 @@ from estatemap.session import build_session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    # The fixtures hold a few rows; re-planning every stage would cost more than the stages.
     session = build_session(
         "tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.enabled": "false", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),
            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     yield session

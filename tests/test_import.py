@@ -11,6 +11,7 @@ from estatemap.operators import decisions, matching, merging, quality, upserts
 from estatemap.operators.tables import conform
 from estatemap.plans import catalogue, import_run
 from estatemap.sources import documents as docs
+from estatemap.session import cut_lineage
 from estatemap.sources import master_data
 
 TODAY, NOW = "2024-05-01", "2024-05-01T10:00:00Z"
@@ -53,7 +54,8 @@ def edges_of(graph, rel):
 
 
 @pytest.fixture(scope="module")
-def imported(spark, files, master):
+def imported(spark, files, master, tmp_path_factory):
+    """The result of an import as a later session finds it: committed and read again."""
     entities, relations, issues = master_data.read_master_types(spark, files)
     assert issues.count() == 0
     graph = upserts.register_org_units(Graph.empty(spark), spark.createDataFrame([("Finance",), ("Sales",)], "name string"))
@@ -63,7 +65,10 @@ def imported(spark, files, master):
         ("P1", "Booking", ["Unknown"], ["banking gateway", "Ledger Suite FI Core", "Adobe", "CRM"]),
         ("P2", "Closing", ["Booking"], ["BankingGateway (transfer)", "banking gateway"]),
     ])
-    return import_run.import_documents(graph, rows, master, TODAY), rows
+    result = import_run.import_documents(graph, rows, master, TODAY)
+    store = GraphStore(spark, str(tmp_path_factory.mktemp("imported")))
+    store.commit(result.graph.tables(), trigger="test", operation="import")
+    return import_run.ImportResult(store.read(), cut_lineage(result.documents), result.matches), rows
 
 
 def test_csv_reading(spark, files, tmp_path):
@@ -78,6 +83,21 @@ def test_csv_reading(spark, files, tmp_path):
     assert [(r.line_number, r.message) for r in issues] == [(3, "3 statt 2 Spalten"), (4, "1 statt 2 Spalten")]
     assert master_data.files_with_columns(spark, str(tmp_path), ["id", "name"]).count() == 1
     assert master_data.files_with_columns(spark, str(tmp_path), ["id", "other"]).count() == 0
+    wide = write(tmp_path / "wide.csv", ";".join(["id", "name", *[f"column_{n:04d}" for n in range(500)]]) + "\n1;x\n")
+    assert [r.path.split("/")[-1] for r in master_data.files_with_columns(spark, str(tmp_path), ["id", "name", "column_0499"]).collect()] == ["wide.csv"]
+    assert master_data.read_master_csv(spark, wide).count() == 1
+    broken = write(tmp_path / "breaks.csv", 'id,name\n1,"19"" rack\nsecond line"\n2,y\n')
+    assert [r.name for r in master_data.read_master_csv(spark, broken).orderBy("line_number").collect()] == ['19" rack\nsecond line', "y"]
+
+
+def test_inventory_ids_with_underscores(spark, tmp_path):
+    path = write(tmp_path / "inventory.csv", 'process_id,process_name,department,role,owner,mentioned_applications,txt_file\n'
+                 'FIN_01,"Book",Finance,Clerk,Ann,"A, B",\nFIN,"Close",Finance,Clerk,Ann,,given.txt\n')
+    texts = spark.createDataFrame([("/x/fin_01_book.txt", "t1"), ("/x/given.txt", "t2"), ("/x/other.txt", "t3")], "path string, text string")
+    found = {r.process_id: r.txt_file for r in master_data.read_inventory(spark, path, texts).collect()}
+    assert found == {"FIN_01": "fin_01_book.txt", "FIN": "given.txt"}
+    with pytest.raises(ValueError):
+        master_data.read_inventory(spark, path, texts.filter("text <> 't1'")).count()
 
 
 def test_governance_gaps(imported):
