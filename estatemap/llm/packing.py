@@ -36,8 +36,9 @@ CAPACITY = 2048
 SMALL = 256
 GROUPS = 96
 END_ID = 0
-#: Words, and parts of words, whose ids one worker remembers; a memory is emptied when it is full.
+#: Words, and parts of words, whose ids one worker remembers (about 200 bytes each); a memory is emptied when it is full.
 REMEMBERED = 150_000
+REMEMBERED_PARTS = 250_000
 #: Words longer than this are tokenised anew each time.
 LONG_WORD = 64
 #: White space of the tokenizer's own splitting rule (fixed values). ``str.split`` takes four control characters more.
@@ -82,7 +83,7 @@ class WordIds:
     def _part(self, part: str) -> bytes:
         known = self.parts.get(part)
         if known is None:
-            if len(self.parts) > REMEMBERED:
+            if len(self.parts) > REMEMBERED_PARTS:
                 self.parts.clear()
             letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
             known = b"".join([token.id.to_bytes(4, "little") for token in self.model.tokenize(letters)])
