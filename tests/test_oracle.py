@@ -34,7 +34,7 @@ def test_plans_hold_no_product(spark, name):
     assert not re.search("CartesianProduct", plan)
 
 
-@pytest.mark.parametrize("name,scans", [("edge_conformance", 40), ("ownerless_counts", 10), ("entity_validation", 2)])
+@pytest.mark.parametrize("name,scans", [("edge_conformance", 40), ("ownerless_counts", 11), ("entity_validation", 3)])
 def test_plans_join_by_equality(spark, name, scans):
     plan = queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|NestedLoop", plan)
