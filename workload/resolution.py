@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from estatemap import model
 from estatemap.operators import aliases, matching, modelgen, org, traverse, upserts
 from workload.registry import graph_query, register
 from workload.star import graph, graph_sql, plain, query, table
@@ -68,10 +69,36 @@ register("manual_matches",
     lambda spark, folder: matching.manual_matches(mentions(spark, folder), query(spark, folder, CONFIRMED)).drop("ordinal"))
 
 
+# Digests of 64 letters against digests cut short by k: their ratio is 2(64 - k) / (128 - k), all other pairs stay far below.
+DIGESTS = ("SELECT sha2(CAST(s_suppkey AS STRING), 256) AS name, substring(sha2(CAST(s_suppkey AS STRING), 256), 1, 64 - CAST(s_suppkey % 24 AS INT)) AS term, "
+           "CAST(s_suppkey AS STRING) AS cmdb_id, s_suppkey AS ordinal FROM {supplier}")
+_DIGESTS = ("(SELECT sha256(CAST(s_suppkey AS VARCHAR)) AS name, substring(sha256(CAST(s_suppkey AS VARCHAR)), 1, 64 - CAST(s_suppkey % 24 AS INT)) AS term, "
+            "CAST(s_suppkey AS VARCHAR) AS cmdb_id, s_suppkey AS ordinal, 2 * (64 - s_suppkey % 24) / (128.0 - s_suppkey % 24)::DOUBLE AS score FROM supplier)")
+_STRENGTH = "CASE WHEN score >= 0.95 THEN 'stark' ELSE 'schwach' END AS confidence"
+register("fuzzy_digests", f"SELECT term, name, score, {_STRENGTH} FROM {_DIGESTS} WHERE score >= 0.85")(
+    lambda spark, folder: matching.fuzzy_pairs(
+        query(spark, folder, DIGESTS).select("term"), query(spark, folder, DIGESTS).select("name")).select("term", "name", "score", "confidence"))
+
+
+@register("cascade_of_digests",
+          f"SELECT 'doc ' || cmdb_id AS source_path, 'p' AS process, cmdb_id AS process_id, term AS application_name, ordinal AS position, "
+          f"CASE WHEN score >= 0.85 THEN cmdb_id END AS cmdb_id, CASE WHEN score >= 0.85 THEN name END AS matched_name, {_STRENGTH}, "
+          f"CASE WHEN score >= 0.85 THEN 'fuzzy' ELSE 'unmatched' END AS source, CASE WHEN score >= 0.85 THEN score ELSE 0 END AS score FROM {_DIGESTS}")
+def cascade_of_digests(spark, folder):
+    """The whole cascade at its default threshold, without decisions."""
+    digests = query(spark, folder, DIGESTS)
+    mentioned = digests.select(
+        F.concat(F.lit("doc "), "cmdb_id").alias("source_path"), F.lit("p").alias("process"), F.col("cmdb_id").alias("process_id"),
+        F.col("term").alias("application_name"), F.col("ordinal").alias("position"))
+    return matching.match_terms(
+        mentioned, digests.select("cmdb_id", "name", "ordinal"), model.empty(spark, model.CONFIRMED_SCHEMA),
+        model.empty(spark, model.REJECTED_SCHEMA)).drop("ordinal")
+
+
 def words(spark, folder, name):
-    """Distinct words of at least four letters of every text, the vocabulary that similarity is tried on."""
+    """Distinct words of every text, the vocabulary that similarity is tried on."""
     return table(spark, folder, name).select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).filter(
-        F.char_length("word") >= 4).distinct()
+        "word != ''").distinct()
 
 
 # The difflib ratio has no SQL counterpart; the tests compare the operator with brute force.
