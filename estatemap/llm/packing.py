@@ -36,9 +36,8 @@ CAPACITY = 2048
 SMALL = 256
 GROUPS = 96
 END_ID = 0
-#: Words, and parts of words, whose ids one worker remembers (about 200 bytes each); a memory is emptied when it is full.
-REMEMBERED = 150_000
-REMEMBERED_PARTS = 250_000
+#: Pieces of text whose ids one worker remembers (about 200 bytes each); a memory is emptied when it is full.
+REMEMBERED = 350_000
 #: Words longer than this are tokenised anew each time.
 LONG_WORD = 64
 #: White space of the tokenizer's own splitting rule (fixed values). ``str.split`` takes four control characters more.
@@ -46,8 +45,10 @@ WHITE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
 #: What takes a text off the short way: letters beyond Latin, marks that join letters, controls, letters with odd lower case.
 ODD = re.compile(r"[^\t-\r -~\x85\xa0-\u012f\u0131-\u0148\u014a-\u017f\u2000-\u200a\u2010-\u2029\u20ac]")
-#: The tokenizer's split of a plain word: contractions, letters, single numbers, other marks (fixed values).
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+")
+#: The tokenizer's split of a plain text in lower case: letters, single numbers, contractions, other marks (fixed values).
+PARTS = re.compile(
+    r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'(?:s|t|re|ve|m|ll|d)"
+    r"|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f0-9\xb2\xb3\xb9\xbc-\xbe\s]+")
 _memory: dict[str, WordIds] = {}
 
 
@@ -59,10 +60,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordIds:
-    """Ids of texts, word by word: the tokenizer never joins what white space separates.
+    """Ids of texts, part by part: the tokenizer never joins what it has split.
 
-    The words of a plain text (Latin letters, no special token) are lower-cased and cut as the tokenizer would cut
-    them, and only new parts meet its merges; the words of any other text go through the tokenizer as they are.
+    A plain text (Latin letters, no special token) is lower-cased and split as the tokenizer would split it, and only
+    new parts meet its merges; any other text goes through the tokenizer word by word.
     """
 
     def __init__(self, path: str):
@@ -70,9 +71,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -81,39 +81,30 @@ class WordIds:
         return text.split()
 
     def _part(self, part: str) -> bytes:
-        known = self.parts.get(part)
-        if known is None:
-            if len(self.parts) > REMEMBERED_PARTS:
-                self.parts.clear()
-            letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            known = b"".join([token.id.to_bytes(4, "little") for token in self.model.tokenize(letters)])
-            self.parts[part] = known
-        return known
-
-    def _plain(self, word: str) -> bytes:
-        return b"".join([self._part(part) for part in PARTS.findall(word)])
-
-    def _other(self, word: str) -> bytes:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return b"".join([token.id.to_bytes(4, "little") for token in self.model.tokenize(letters)])
+
+    def _word(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Little-endian 32-bit ids of the text."""
         if "<|" not in text and not ODD.search(text):
-            words, known, learn = text.lower().split(), self.words, self._plain
+            pieces, known, learn, most = PARTS.findall(text.lower()), self.parts, self._part, REMEMBERED
         else:
-            words, known, learn = self.split(text), self.others, self._other
-        found = list(map(known.get, words))
+            pieces, known, learn, most = self.split(text), self.words, self._word, REMEMBERED // 4
+        found = list(map(known.get, pieces))
         if None in found:
-            if len(known) > REMEMBERED:
+            if len(known) > most:
                 known.clear()
             for at, ids in enumerate(found):
                 if ids is None:
-                    word = words[at]
-                    ids = known.get(word)
+                    piece = pieces[at]
+                    ids = known.get(piece)
                     if ids is None:
-                        ids = learn(word)
-                        if len(word) <= LONG_WORD:
-                            known[word] = ids
+                        ids = learn(piece)
+                        if len(piece) <= LONG_WORD:
+                            known[piece] = ids
                     found[at] = ids
         return b"".join(found)
 

@@ -34,7 +34,6 @@ def test_word_ids_equal_the_tokenizer(text):
 
 def test_small_memory_forgets_nothing(ids, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 3)
-    monkeypatch.setattr(packing, "REMEMBERED_PARTS", 3)
     text = " ".join(f"word{i} other{i % 5}'s Éa{i}" for i in range(60))
     assert ids(text) == direct(ids, text)
 
