@@ -175,19 +175,23 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         F.col("id").alias(id_column), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = BITS) -> DataFrame:
-    """``docs`` with one row of each group, that of the least id, all columns as they were; of fully equal rows one stays."""
-    rows = cut_lineage(fingerprints(docs, id_column, text_column).select("id", "fp", "hash"))
-    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
-    rooted = _rooted(distinct, bits).select("fp", "root")
-    known = cut_lineage(rows.join(rooted, "fp").withColumn("turn", F.struct(F.col("id").isNull().alias("last"), "id", "hash")))
+def keep_first(docs: DataFrame, known: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``docs`` with the row of the least id of each ``root`` of ``known`` (``id, hash, root``); of fully equal rows one stays."""
+    known = cut_lineage(known.withColumn("turn", F.struct(F.col("id").isNull().alias("last"), "id", "hash")))
     groups = known.groupBy("root").agg(F.min("turn").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     losers = cut_lineage(known.join(groups, "root").filter("turn != first").select("id", "hash").distinct())
     kept = without(docs, losers, id_column, text_column)
-    repeated = cut_lineage(rows.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "hash"))
+    repeated = cut_lineage(known.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "hash"))
     if repeated.isEmpty():
         return kept
     columns = [F.col(f"row.`{name}`").alias(name) for name in docs.columns]
     marked = (kept.select(F.struct("*").alias("row"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("hash"))
               .withColumn("turn", F.row_number().over(Window.partitionBy("id", "hash").orderBy("hash"))))
     return marked.filter("turn = 1").select(*columns)
+
+
+def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each group, that of the least id, all columns as they were; of fully equal rows one stays."""
+    rows = cut_lineage(fingerprints(docs, id_column, text_column).select("id", "fp", "hash"))
+    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
+    return keep_first(docs, rows.join(_rooted(distinct, bits).select("fp", "root"), "fp").select("id", "hash", "root"), id_column, text_column)
