@@ -15,12 +15,13 @@ outside of it has as well. Single pages therefore work without their site.
 
 The tree is built from (host, node, text hash) counts that combine before the shuffle; pages never meet by host.
 
-Defined cases: null, empty and unreadable html give an empty text; a page without a host is its own site of host '';
+Defined cases: null and empty html give an empty text; unknown marked sections are comments; a page without a host is its own site of host '';
 equal rows get equal results; html is read whole; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -57,6 +58,15 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
           "option": {"select"}}
 
 
+#: Decimal character references with more digits than ``int`` may read.
+LONG_REFERENCE = re.compile(r"&#([0-9]{20,});?")
+
+
+def _short_reference(found: re.Match) -> str:
+    digits = found[1].lstrip("0")
+    return "\ufffd" if len(digits) > 7 else f"&#{digits or 0};"
+
+
 class _Open:
     """An open element."""
 
@@ -153,6 +163,10 @@ class _Reader(HTMLParser):
             self.above = tuple(element.node for element in self.stack[1:]), top.article
         self.words.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Marked sections are bogus comments in html, up to the next '>'."""
+        return self.parse_bogus_comment(i, report)
+
     def finish(self) -> None:
         if self.rawdata[:1] == "<" and (self.rawdata[1:2].isalpha() or self.rawdata[1:2] in ("/", "!", "?")):
             self.rawdata = ""  # a tag or comment that the page breaks off in is no text
@@ -166,10 +180,10 @@ def read_page(html: str | None) -> tuple[list[tuple[tuple[int, ...], bool, str]]
     """(blocks, child sequences) of a page; only blocks inside articles where the page marks any with text."""
     reader = _Reader()
     try:
-        reader.feed(html or "")
-        reader.finish()
-    except (AssertionError, ValueError):  # what the parser cannot read has no text
-        return [], set()
+        reader.feed(LONG_REFERENCE.sub(_short_reference, html or ""))
+    except (AssertionError, ValueError):  # what was read before stays
+        reader.rawdata = ""
+    reader.finish()
     inside = [block for block in reader.blocks if block[1]]
     return inside or reader.blocks, reader.styles
 

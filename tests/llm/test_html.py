@@ -63,3 +63,11 @@ def test_shuffled_lists_give_the_same(spark, monkeypatch):
 def test_no_pages(spark):
     frame, _ = site(spark)
     assert htmltext.extract(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<p>x</p><![foo[bar]]><p>y</p>", "x\ny"), ("<p>a</p>if (a<![0]) b><p>c</p>", "a\nif (a\nc"), ("<p>a</p><![if !IE]><p>b</p><![endif]><p>c</p>", "a\nb\nc"),
+    ("<p>a &#" + "9" * 5000 + "; b</p><p>c</p>", "a � b\nc"), ("<p>a &#" + "0" * 5000 + "65; b</p>", "a A b"),
+])
+def test_text_around_what_the_parser_cannot_read(html, text):
+    assert htmltext.main_text(html, None) == text
