@@ -10,7 +10,7 @@ tree. For a node that ``m`` pages contain,
 
 A branch goes when its node has low importance, in absolute terms and against the root of the main text (where all
 pages of a host are alike, nothing can be told apart and nothing goes). Markup that names itself (menus, footers,
-forms, adverts, comments, ...) has importance 0 by its tag or class; where a page marks an article, what lies
+forms, adverts, comments, ...) has importance 0 by its tag or class, unless it holds the article or most of the page's text; where a page marks an article, what lies
 outside of it has as well. Single pages therefore work without their site.
 
 The tree is built from (host, node, text hash) counts that combine before the shuffle; pages never meet by host.
@@ -52,6 +52,15 @@ NAMED = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer "
     "login masthead menu modal nav navbar navigation newsletter notice notices popup promo related search share sharing sidebar "
     "signup skip social sponsor sponsored subscribe toolbar widget".split())
+#: Words that may stand beside them in a name (``site-footer``); any other word makes it another name (``with-sidebar``).
+BESIDE = frozenset(
+    "area bar block bottom box center container content footer global header inner item left link links list main outer page primary right row "
+    "secondary section site text top widget wrap wrapper".split())
+#: Characters from which on a named element with over half of the page's text is taken for its main text.
+MOST_FROM = 200
+#: Elements within a line; a name switches them off without ending the line.
+INLINE = frozenset("a abbr b cite em i label mark q s small span strong sub sup time u".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
             "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"},
@@ -67,19 +76,26 @@ def _short_reference(found: re.Match) -> str:
     return "\ufffd" if len(digits) > 7 else f"&#{digits or 0};"
 
 
+def _is_named(token: str) -> bool:
+    """Whether a class, id or role as a whole names what is not the article."""
+    words = set(token.replace("_", "-").split("-")) - {""}
+    return not NAMED.isdisjoint(words) and words <= NAMED | BESIDE
+
+
 class _Open:
     """An open element."""
 
-    __slots__ = ("tag", "node", "off", "article", "children")
+    __slots__ = ("tag", "node", "off", "article", "names", "children")
 
-    def __init__(self, tag: str, node: int, off: bool, article: bool):
-        self.tag, self.node, self.off, self.article, self.children = tag, node, off, article, []
+    def __init__(self, tag: str, node: int, off: bool, article: bool, names: tuple[int, ...] = ()):
+        self.tag, self.node, self.off, self.article, self.names, self.children = tag, node, off, article, names, []
 
 
 class _Reader(HTMLParser):
     """Blocks of text with the nodes above them, and the child sequences of the nodes.
 
-    ``blocks`` has (nodes from the root down, inside an article, text); nothing off the article by its markup is kept.
+    ``blocks`` has (nodes from the root down, inside an article, text); nothing off the article by its tag is kept.
+    ``names`` has for each block the elements above it that a class, id or role names; ``kept_blocks`` decides on them.
     """
 
     def __init__(self):
@@ -89,16 +105,21 @@ class _Reader(HTMLParser):
         self.styles: set[tuple[int, int]] = set()
         self.words: list[str] = []
         self.above: tuple[tuple[int, ...], bool] | None = None
+        self.block_names: tuple[int, ...] = ()
+        self.names: list[tuple[int, ...]] = []
+        self.named = 0
+        self.holders: set[int] = set()
 
     def _end_block(self) -> None:
         text = " ".join("".join(self.words).split())
         if text and self.above:
             self.blocks.append((*self.above, text))
+            self.names.append(self.block_names)
         self.words, self.above = [], None
 
     def _close(self) -> None:
         gone = self.stack.pop()
-        if gone.tag in BLOCK:
+        if gone.tag in BLOCK or gone.names != self.stack[-1].names:
             self._end_block()
         if not gone.off:
             self.styles.add((gone.node, xxhash.xxh64_intdigest(" ".join(gone.children))))
@@ -133,13 +154,22 @@ class _Reader(HTMLParser):
         role = (found.get("role") or "").lower()
         article = parent.article or tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody"
         off = parent.off or tag in UNREAD or tag in ASIDE or (tag == "header" and not parent.article) or "hidden" in found
-        if not off and tag not in ("html", "body", "article", "main"):
-            named = " ".join([*classes, (found.get("id") or "").lower(), role])
-            off = not NAMED.isdisjoint(named.replace("-", " ").replace("_", " ").split())
-        elif not off and tag == "article":
-            off = not NAMED.isdisjoint("-".join(classes).replace("_", "-").split("-"))
+        names = parent.names
+        if not off and (tag in ("article", "main") or role in ("main", "article")):
+            self.holders.update(names)
+        if not off and tag not in ("html", "body", "main"):
+            ident = (found.get("id") or "").lower()
+            tokens = [*classes, role] if tag == "article" or parent.article and tag in HEADINGS else [*classes, *ident.split(), role]
+            if any(map(_is_named, tokens)):
+                if tag in INLINE:
+                    off = True
+                else:
+                    self.named += 1
+                    names = (*names, self.named)
         node = xxhash.xxh64_intdigest(f"{parent.node}>{tag}.{'.'.join(classes)}[{role}") - (1 << 63)
-        self.stack.append(_Open(tag, node, off, article))
+        if names != parent.names:
+            self._end_block()
+        self.stack.append(_Open(tag, node, off, article, names))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -160,9 +190,22 @@ class _Reader(HTMLParser):
                 self._end_block()
             return
         if self.above is None and not data.isspace():
-            self.above = tuple(element.node for element in self.stack[1:]), top.article
+            self.above, self.block_names = (tuple(element.node for element in self.stack[1:]), top.article), top.names
         self.words.append(data)
 
+    def kept_blocks(self) -> list[tuple[tuple[int, ...], bool, str]]:
+        """Blocks outside of named elements; those inside where the element holds the page's article or most of its text."""
+        free = [block for block, names in zip(self.blocks, self.names) if not names]
+        if any(block[1] for block in free):
+            return free
+        sizes: dict[int, int] = {}
+        for block, names in zip(self.blocks, self.names):
+            for name in names:
+                sizes[name] = sizes.get(name, 0) + len(block[2])
+        least = max(MOST_FROM, sum(len(block[2]) for block in self.blocks) / 2)
+        back = self.holders | {name for name, size in sizes.items() if size > least}
+        return [block for block, names in zip(self.blocks, self.names) if back.issuperset(names)]
+
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """Marked sections are bogus comments in html, up to the next '>'."""
         return self.parse_bogus_comment(i, report)
@@ -184,8 +227,8 @@ def read_page(html: str | None) -> tuple[list[tuple[tuple[int, ...], bool, str]]
     except (AssertionError, ValueError):  # what was read before stays
         reader.rawdata = ""
     reader.finish()
-    inside = [block for block in reader.blocks if block[1]]
-    return inside or reader.blocks, reader.styles
+    blocks = reader.kept_blocks()
+    return [block for block in blocks if block[1]] or blocks, reader.styles
 
 
 def host_of(url: Column) -> Column:

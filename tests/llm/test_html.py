@@ -71,3 +71,15 @@ def test_no_pages(spark):
 ])
 def test_text_around_what_the_parser_cannot_read(html, text):
     assert htmltext.main_text(html, None) == text
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<div class='content with-sidebar'><p>a</p></div><div class='sidebar'>no</div>", "a"), ("<div class='no-sidebar'><p>a</p></div>", "a"),
+    ("<div id='page' class='has-footer'><article><p>a</p></article></div>", "a"), ("<div class='site-footer'>no</div><p>a</p>", "a"),
+    ("<article><section id='related-work'><h2 id='search'>h</h2><p>a</p></section><div class='comments'>no</div></article>", "h\na"),
+    ("<article class='post category-social tag-search'><p>a</p></article>", "a"), ("<div class='sidebar'><main><p>a</p></main></div><p>out</p>", "a"),
+    ("<div class='widget'><p>" + "long " * 99 + "end</p></div><p>a</p>", "long " * 99 + "end\na"),
+    ("<div class='comments'><article>no</article></div><article><p>a</p></article>", "a"), ("<p>a <span class='ad'>no</span> b</p>", "a b"),
+])
+def test_named_wrappers(html, text):
+    assert htmltext.main_text(html, None) == text
