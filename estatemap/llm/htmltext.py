@@ -11,7 +11,8 @@ tree. For a node that ``m`` pages contain,
 A branch goes when its node has low importance, in absolute terms and against the root of the main text (where all
 pages of a host are alike, nothing can be told apart and nothing goes). Markup that names itself (menus, footers,
 forms, adverts, comments, ...) has importance 0 by its tag or class, unless it holds the article or most of the page's text; where a page marks an article, what lies
-outside of it has as well. Single pages therefore work without their site.
+outside of it has as well and nothing inside of it goes by its importance. Copies of a page body on one host count
+as one page. Single pages therefore work without their site.
 
 The tree is built from (host, node, text hash) counts that combine before the shuffle; pages never meet by host.
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estatemap.llm.common import cut_lineage
+from estatemap.llm.common import cut_lineage, small_or_shuffled
 
 CONTENT = 0.9
 LOW = 0.3
@@ -237,31 +238,48 @@ def host_of(url: Column) -> Column:
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, node, kind, value) once per page: kind 0 the page itself, 1 a child sequence, 2 a text right in the node; its parents with 0."""
-    names = ["host", "node", "kind", "value", "above"]
-    kinds = [pa.string(), pa.int64(), pa.int8(), pa.int64(), pa.list_(pa.int64())]
+    names = ["host", "node", "kind", "value", "above", "weight"]
+    kinds = [pa.string(), pa.int64(), pa.int8(), pa.int64(), pa.list_(pa.int64()), pa.float64()]
     for batch in batches:
         rows = []
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for host, html, weight in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             blocks, styles = read_page(html.as_py())
             paths = {above[:depth]: None for above, _, _ in blocks for depth in range(1, len(above) + 1)}
             known = {path[-1] for path in paths}
-            rows += [(host, path[-1], 0, 0, list(path)) for path in paths]
-            rows += [(host, node, 1, style - (1 << 63), None) for node, style in styles if node in known]
+            rows += [(host, path[-1], 0, 0, list(path), weight) for path in paths]
+            rows += [(host, node, 1, style - (1 << 63), None, weight) for node, style in styles if node in known]
             texts = {(above[-1], xxhash.xxh64_intdigest(text) - (1 << 63)) for above, _, text in blocks if above}
-            rows += [(host, node, 2, text, None) for node, text in texts]
+            rows += [(host, node, 2, text, None, weight) for node, text in texts]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names=names)
 
 
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, hash of the html, hash of the texts below the body) of every page."""
+    for batch in batches:
+        bodies = [xxhash.xxh64_intdigest("\n".join(text for _, _, text in read_page(html.as_py())[0])) - (1 << 63) for html in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.int64())], names=["host", "hash", "body"])
+
+
+def weighted(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``weight``, so that the copies of a page body on a host count as one page together."""
+    hashed = pages.select("host", F.xxhash64("html").alias("hash"), "html")
+    bodies = cut_lineage(hashed.mapInArrow(_bodies, "host string, hash long, body long").groupBy("host", "body", "hash").agg(F.count(F.lit(1)).alias("n")))
+    copies = bodies.groupBy("host", "body").agg(F.sum("n").alias("copies")).filter("copies > 1")
+    copied = cut_lineage(bodies.join(copies, ["host", "body"]).select("host", "hash", "copies"))
+    return (hashed.join(small_or_shuffled(copied), ["host", "hash"], "left")
+            .select("host", "html", (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("weight")))
+
+
 def low_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW, against_root: float = AGAINST_ROOT) -> DataFrame:
     """``host, node``: nodes of the hosts' style trees with low importance. ``pages`` has ``host`` and ``html``."""
-    facts = pages.select("host", "html").mapInArrow(_facts, "host string, node long, kind byte, value long, above array<long>")
+    facts = weighted(pages).mapInArrow(_facts, "host string, node long, kind byte, value long, above array<long>, weight double")
     counts = (facts.groupBy("host", "node", "kind", "value")
-              .agg(F.count(F.lit(1)).alias("n"), F.first("above", ignorenulls=True).alias("above")))
+              .agg(F.round(F.sum("weight"), 6).alias("n"), F.first("above", ignorenulls=True).alias("above")))
     of_kind = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
-    n = F.col("n").cast("double")
+    n = F.col("n")
     nodes = cut_lineage(counts.groupBy("host", "node").agg(
-        of_kind(0, F.col("n")).alias("m"), F.first("above", ignorenulls=True).alias("above"),
+        F.round(of_kind(0, n)).alias("m"), F.first("above", ignorenulls=True).alias("above"),
         of_kind(1, n).alias("styles"), of_kind(1, n * F.log(n)).alias("style_logs"),
         of_kind(2, F.lit(1.0)).alias("texts"), of_kind(2, F.log(n)).alias("text_logs")))
     # What lies below a node: its own texts and those of the nodes that have it above them.
@@ -280,7 +298,7 @@ def low_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW
 
 def main_text(html: str | None, low: set[int] | None) -> str:
     blocks, _ = read_page(html)
-    return "\n".join(text for above, _, text in blocks if not low or low.isdisjoint(above))
+    return "\n".join(text for above, article, text in blocks if article or not low or low.isdisjoint(above))
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

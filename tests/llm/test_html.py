@@ -83,3 +83,24 @@ def test_text_around_what_the_parser_cannot_read(html, text):
 ])
 def test_named_wrappers(html, text):
     assert htmltext.main_text(html, None) == text
+
+
+def test_repeated_headings_and_copied_pages(spark):
+    dealt = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    text = lambda: " ".join(dealt.choice(words) for _ in range(15))
+    rows, expected = [], {}
+    for i in range(8):
+        a, b = text(), text()
+        rows.append((i, f"http://cook.example/{i}", f"<body><article><h2>Ingredients</h2><p>{a}</p><h2>Method</h2><p>{b}</p></article></body>"))
+        expected[i] = f"Ingredients\n{a}\nMethod\n{b}"
+    quote, part = text(), text()
+    for i in range(10, 18):
+        a = text()
+        copied = i < 14
+        body = f"<blockquote>{quote}</blockquote><p>{part}</p>" if copied else f"<p>{a}</p>"
+        rows.append((i, f"http://copy.example/{i}", f"<head><title>{i}</title></head><body><div>{body}</div></body>"))
+        expected[i] = f"{quote}\n{part}" if copied else a
+    rows += [rows[8], rows[9]]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {row.page_id: row.text for row in htmltext.extract(frame).collect()} == expected
