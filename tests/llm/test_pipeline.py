@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from estatemap.llm.queries import ORACLES, QUERIES
-from .test_dedup import brute_fingerprint, roots_of
+from .test_similar_texts import brute_kept
 from .test_text_tables import brute_contamination
 from workload.compare import connect, difference
 
@@ -45,9 +45,7 @@ def test_stages(spark, tmp_path):
                 groups.setdefault(before[key], []).append(key)
             assert kept[name] == {max(keys) for keys in groups.values()}
         elif name == "near_copies":
-            earlier = sorted(kept["exact_copies"])
-            fps = {key: brute_fingerprint(before[key]) for key in earlier}
-            assert kept[name] == set(roots_of([(a, b) for a in earlier for b in earlier if a < b and (fps[a] ^ fps[b]).bit_count() <= 3], earlier).values())
+            assert kept[name] == brute_kept([(key, before[key]) for key in sorted(kept["exact_copies"])])[1]
         elif name == "benchmark_passages":
             assert kept[name] == {key for key in kept["near_copies"] if not brute_contamination(before[key], items)[1]}
         else:
