@@ -399,7 +399,7 @@ def importance(counts: DataFrame, scope: str | None) -> DataFrame:
 
 def low_nodes(records: DataFrame, least_pages: int = LEAST_PAGES, least_of_all: int = LEAST_PAGES_OF_ALL, low: float = LOW) -> DataFrame:
     """``host, node``: nodes of low importance in the tree of the host, or of its domain or all hosts where it has too few pages."""
-    counts = cut_lineage(node_counts(records))
+    counts = stored(node_counts(records))
     named = lambda scope, to: importance(counts, scope).select(
         *([scope] if scope else []), "node", F.struct("m", "share", "value").alias(to))
     trees = (named("host", "own").join(counts.filter("kind = 0").select("host", "site").distinct(), "host")
