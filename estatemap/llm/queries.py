@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatemap.llm import decontaminate, exact_dedup, htmltext, langid, packing, preferences, quality, sharding, simhash, urlfilter
+from estatemap.llm import (audit, decontaminate, exact_dedup, htmltext, langid, minhash, packing, preferences, quality, sharding, simhash,
+                           turntree, urlfilter)
 from estatemap.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +155,61 @@ def op10_preference_formatting(spark: SparkSession, folder: str) -> DataFrame:
     half = F.expr("left(text, length(text) div 2)")
     rejected = turns.withColumn("text", F.when(from_here, half).otherwise(F.col("text"))).withColumn("side", F.lit("rejected"))
     return preferences.preference_rows(turns.withColumn("side", F.lit("chosen")).unionByName(rejected))
+
+
+@_register("op11_minhash_dedup")
+def op11_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_classes(table(spark, folder, "documents"))
+
+
+@_register("op12_filter_audit", r"""
+    WITH doc AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+    split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM doc),
+    failed AS (SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+            || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END
+            || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+            || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails FROM split),
+    label AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+    counted AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+                FROM failed LEFT JOIN label USING (doc_id) GROUP BY ALL),
+    letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    ordered AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+                WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    placed AS (SELECT filter_order, step, filter_order[step] AS own, string_split(filter_order[1:step - 1], '') AS before
+               FROM ordered, unnest(range(1, 6)) AS r(step)),
+    met AS (SELECT part, filter_order, step, n, good, toxic, length(fails) AS many, contains(fails, own) AS hit, fails = own AS alone,
+                   len(list_intersect(string_split(fails, ''), before)) > 0 AND step > 1 AS earlier FROM counted, placed)
+    SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER (WHERE NOT hit AND NOT earlier), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (WHERE hit AND NOT earlier), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (WHERE hit AND earlier), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (WHERE alone), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (WHERE hit AND NOT earlier), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (WHERE hit AND NOT earlier), 0)::BIGINT AS toxic_lost,
+        coalesce(sum(n * 120 // greatest(many, 1)) FILTER (WHERE hit), 0)::BIGINT AS shapley FROM met GROUP BY ALL""")
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_register("op13_conversation_trie", r"""
+    WITH RECURSIVE turn AS (SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+               coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    coded AS (SELECT conv, pos, dense_rank() OVER (ORDER BY role, text) AS id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM turn),
+    conv AS (SELECT conv, count(*) AS many, conv - conv % 20 AS base, xor(4294967295, list_reduce(
+                 list_prepend(4294967295::BIGINT, list_transform(string_split(conv::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                 lambda crc, x: list_reduce(list_prepend(xor(crc, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                     lambda r, i: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)))) % 4 AS shared FROM turn GROUP BY conv),
+    based AS (SELECT c.*, least(c.shared, coalesce(b.many, 0)) AS taken FROM conv c LEFT JOIN conv b ON c.base = b.conv),
+    built AS (SELECT b.conv, t.pos, t.id, t.words FROM based b JOIN coded t ON t.conv = b.base AND t.pos <= b.taken
+        UNION ALL SELECT b.conv, t.pos - shared + taken, t.id, t.words FROM based b JOIN coded t ON t.conv = b.conv AND t.pos > shared),
+    sequence AS (SELECT conv, coalesce(list(id ORDER BY pos) FILTER (WHERE id IS NOT NULL), []) AS ids, coalesce(list(words ORDER BY pos) FILTER (WHERE id IS NOT NULL), []) AS words
+        FROM conv LEFT JOIN built USING (conv) GROUP BY conv),
+    member AS (SELECT conv, d, ids[1:d] AS node, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words, len(ids) = d AS ends FROM sequence, unnest(range(0, len(ids) + 1)) AS r(d)),
+    node AS (SELECT node, d, min(conv) AS conv, count(*) AS n, max(words) AS words, coalesce(list(conv ORDER BY conv) FILTER (WHERE ends), []) AS ends FROM member GROUP BY node, d),
+    fan AS (SELECT node[1:d - 1] AS node, count(*) AS children FROM node WHERE d > 0 GROUP BY 1),
+    full_node AS (SELECT n.*, coalesce(children, 0) AS children FROM node n LEFT JOIN fan USING (node)),
+    below AS (SELECT node[1:u] AS node, sum(CASE WHEN children = 0 THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * words) AS saved
+              FROM full_node, unnest(range(0, d + 1)) AS r(u) GROUP BY 1)
+    SELECT n.conv AS conv_id, n.d AS depth, p.conv AS parent_conv_id, n.n AS n_convs, n.children::BIGINT AS n_children, b.leaves::BIGINT AS n_leaves,
+           b.saved::BIGINT AS saved_tokens, sha256(array_to_string(n.ends, ',')) AS ends_sha256
+    FROM full_node n JOIN below b USING (node) LEFT JOIN full_node p ON n.d > 0 AND p.node = n.node[1:n.d - 1]""")
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return turntree.prefix_trie(table(spark, folder, "conversations"))
