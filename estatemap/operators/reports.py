@@ -27,24 +27,23 @@ def run_summary(documents: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == model.STATUS_ERROR).alias("errors"))
 
 
-def document_status_rows(documents: DataFrame, review: DataFrame | None = None) -> DataFrame:
-    """Applications, matches and open items per document; counted inside the row's own arrays."""
-    zero = F.lit(0)
-    known = F.filter("matches", lambda match: text_or(match["cmdb_id"]) != "")
-    rows = documents
+def document_status_rows(documents: DataFrame, matches: DataFrame, review: DataFrame | None = None) -> DataFrame:
+    """Applications, matches and open items per document; ``matches`` has a row per match."""
+    zero = F.lit(0).cast("long")
+    keyed = lambda rows: rows.withColumn("_process", text_or(F.col("process_id")))
+    counts = keyed(matches).groupBy("source_path", "_process").agg(
+        F.count_if(_filled("cmdb_id")).alias("matched"), F.count_if(~_filled("cmdb_id")).alias("unmatched"))
+    rows = keyed(documents).join(counts, ["source_path", "_process"], "left")
     if review is not None:
-        items = review.groupBy("source_path", "process_id").agg(F.count(F.lit(1)).alias("review_items"))
-        rows = rows.join(items, ["source_path", "process_id"], "left")
+        items = keyed(review).groupBy("source_path", "_process").agg(F.count(F.lit(1)).alias("review_items"))
+        rows = rows.join(items, ["source_path", "_process"], "left")
     else:
         rows = rows.withColumn("review_items", F.lit(None).cast("long"))
     return rows.select(
         "source_path", "status", text_or(F.col("process_name")).alias("process_name"),
-        text_or(F.col("process_id")).alias("process_id"),
-        F.coalesce(F.array_size("applications"), zero).alias("applications"),
-        F.coalesce(F.array_size(known), zero).alias("matched"),
-        (F.coalesce(F.array_size("matches"), zero) - F.coalesce(F.array_size(known), zero)).alias("unmatched"),
-        F.coalesce("review_items", F.lit(0).cast("long")).alias("review_items"),
-        text_or(F.col("error_message")).alias("error_message"))
+        F.col("_process").alias("process_id"), F.coalesce(F.array_size("applications"), F.lit(0)).alias("applications"),
+        F.coalesce("matched", zero).alias("matched"), F.coalesce("unmatched", zero).alias("unmatched"),
+        F.coalesce("review_items", zero).alias("review_items"), text_or(F.col("error_message")).alias("error_message"))
 
 
 def review_rows(matches: DataFrame, items: DataFrame) -> DataFrame:

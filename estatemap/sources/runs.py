@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,15 +14,18 @@ _MATCH = T.StructType([
 _STRINGS = T.ArrayType(T.StringType())
 _REFERENCES = T.ArrayType(model.APPLICATION_REF)
 
-RUN_SCHEMA = T.StructType(
+DOCUMENT_SCHEMA = T.StructType(
     [T.StructField(name, T.StringType()) for name in (
-        "run_id", "run_mode", "source_path", "display_path", "file_hash", "status", "error_message", "process_id",
+        "run_id", "source_path", "display_path", "file_hash", "status", "error_message", "process_id",
         "process_name", "org_unit", "process_owner_candidate", "process_owner_candidate_status", "process_write_action")]
     + [T.StructField(name, _STRINGS) for name in ("roles", "org_units", "org_unit_candidates", "follows_after")]
     + [T.StructField(name, _REFERENCES) for name in ("raw_applications", "applications")]
-    + [T.StructField("matches", T.ArrayType(_MATCH)), T.StructField("ordinal", T.LongType()),
-       T.StructField("finished_at", T.TimestampType())]
-)
+    + [T.StructField("ordinal", T.LongType())])
+#: One row per match of a document, in the order of position and ordinal.
+CANDIDATE_SCHEMA = T.StructType(
+    [T.StructField(name, T.StringType()) for name in ("run_id", "source_path", "file_hash", "process_id", "process")]
+    + [T.StructField("position", T.LongType()), *_MATCH.fields, T.StructField("ordinal", T.LongType())])
+RUN_SCHEMA = "run_id string, run_mode string, finished_at timestamp, documents long, candidates long"
 STATE_SCHEMA = "run_id string, source_path string, file_hash string, process_id string, finished_at timestamp"
 
 
@@ -31,48 +34,55 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return handle.getFileSystem(spark._jsc.hadoopConfiguration()).exists(handle)
 
 
-def with_matches(documents: DataFrame, matches: DataFrame, keys: tuple[str, ...] = ("source_path", "process_id")) -> DataFrame:
-    """Attach the match rows of each document as its ``matches`` array, in order.
+def put_partition(rows: DataFrame, path: str, key: str, value: str) -> int:
+    """Exchange the partition ``key = value`` of the table at ``path``; returns the number of rows, counted as they are written."""
+    counted = Observation()
+    (rows.drop(key).observe(counted, F.count(F.lit(1)).alias("n")).withColumn(key, F.lit(value))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path))
+    return counted.get["n"]
 
-    The array holds the candidates of one document, as the run artifact does.
-    """
-    item = F.struct("position", F.coalesce("ordinal", F.lit(-1)).alias("ordinal"), F.struct(
-        *[field.name for field in _MATCH]).alias("match"))
-    grouped = matches.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_m"))
-    listed = F.transform("_m", lambda entry: entry["match"])
-    return documents.join(grouped, list(keys), "left").withColumn(
-        "matches", F.coalesce(listed, F.array().cast(T.ArrayType(_MATCH)))).drop("_m")
 
+def _shaped(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    present = set(rows.columns)
+    return rows.select(*[(F.col(field.name) if field.name in present else F.lit(None)).cast(field.dataType).alias(field.name) for field in schema])
 
-def match_rows(documents: DataFrame) -> DataFrame:
-    """The stored matches as flat rows again."""
-    return documents.select("source_path", "file_hash", "process_id", F.col("process_name").alias("process"),
-                            F.posexplode("matches").alias("position", "m")).select(
-        "source_path", "file_hash", "process_id", "process", "position", "m.*")
 
+def write_run(documents: DataFrame, matches: DataFrame, path: str, run_id: str, run_mode: str, finished_at: str) -> None:
+    """Write one run: its documents, its match rows, then the row that makes it visible.
 
-def write_run(documents: DataFrame, path: str, run_id: str, run_mode: str, finished_at: str) -> None:
-    """Append one run. The partition appears when the job commits, so readers see whole runs only."""
-    stamped = documents.withColumns({
-        "run_id": F.lit(run_id), "run_mode": F.lit(run_mode), "finished_at": F.lit(finished_at).cast("timestamp")})
-    present = set(stamped.columns)
-    stamped.select(*[
-        (F.col(field.name) if field.name in present else F.lit(None)).cast(field.dataType).alias(field.name)
-        for field in RUN_SCHEMA
-    ]).write.mode("append").partitionBy("run_id").parquet(path)
+    A run that is written again exchanges its partitions. Readers know runs by the table ``runs`` only, so they see
+    whole runs; one that broke off is not among them and is overwritten by its repetition.
+    """
+    spark = documents.sparkSession
+    n = put_partition(_shaped(documents, DOCUMENT_SCHEMA), f"{path}/documents", "run_id", run_id)
+    m = put_partition(_shaped(matches, CANDIDATE_SCHEMA), f"{path}/candidates", "run_id", run_id)
+    run = spark.createDataFrame([(run_id, run_mode, n, m)], "run_id string, run_mode string, documents long, candidates long")
+    put_partition(run.withColumn("finished_at", F.lit(finished_at).cast("timestamp")).coalesce(1), f"{path}/runs", "run_id", run_id)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    if not _exists(spark, path):
+    """``run_id, run_mode, finished_at, documents, candidates`` of every finished run."""
+    if not _exists(spark, f"{path}/runs"):
         return spark.createDataFrame([], RUN_SCHEMA)
-    return spark.read.schema(RUN_SCHEMA).parquet(path)
+    return spark.read.schema(RUN_SCHEMA).parquet(f"{path}/runs")
+
+
+def _latest(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
+    run = read_runs(spark, path).agg(F.max_by(F.struct("run_id", "run_mode", F.col(name).alias("n")), F.struct("finished_at", "run_id")).alias("run")).first().run
+    if run is None or not run.n:  # nothing was written, what lies in the partition is older
+        return spark.createDataFrame([], schema).withColumn("run_mode", F.lit(None).cast("string"))
+    rows = spark.read.schema(schema).parquet(f"{path}/{name}").filter(F.col("run_id") == F.lit(run.run_id))
+    return rows.select(*schema.names, F.lit(run.run_mode).alias("run_mode"))
 
 
 def read_latest_run(spark: SparkSession, path: str) -> DataFrame:
     """Documents of the run that finished last; other partitions are not read."""
-    runs = read_runs(spark, path)
-    latest = runs.agg(F.max_by("run_id", F.struct("finished_at", "run_id"))).first()[0]
-    return runs.filter(F.col("run_id") == F.lit(latest))
+    return _latest(spark, path, "documents", DOCUMENT_SCHEMA)
+
+
+def read_latest_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Match rows of the run that finished last; other partitions are not read."""
+    return _latest(spark, path, "candidates", CANDIDATE_SCHEMA).drop("run_mode")
 
 
 def last_import_selection(spark: SparkSession, path: str) -> DataFrame:
@@ -86,9 +96,8 @@ def import_state(documents: DataFrame) -> DataFrame:
 
 
 def write_import_state(documents: DataFrame, path: str, run_id: str, finished_at: str) -> None:
-    import_state(documents).withColumns({
-        "run_id": F.lit(run_id), "finished_at": F.lit(finished_at).cast("timestamp")}).select(
-        "source_path", "file_hash", "process_id", "finished_at", "run_id").write.mode("append").partitionBy("run_id").parquet(path)
+    """The state rows of one run; writing them again exchanges them."""
+    put_partition(import_state(documents).withColumn("finished_at", F.lit(finished_at).cast("timestamp")), path, "run_id", run_id)
 
 
 def read_import_state(spark: SparkSession, path: str) -> DataFrame:
@@ -98,3 +107,10 @@ def read_import_state(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(STATE_SCHEMA).parquet(path)
     return rows.groupBy("source_path").agg(
         F.max_by(F.struct("file_hash", "process_id"), F.struct("finished_at", "run_id")).alias("s")).select("source_path", "s.*")
+
+
+def known_documents(spark: SparkSession, path: str, before: str) -> DataFrame:
+    """Every (source_path, file_hash) of the runs with an id smaller than ``before``."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], STATE_SCHEMA).select("source_path", "file_hash")
+    return spark.read.schema(STATE_SCHEMA).parquet(path).filter(F.col("run_id") < before).select("source_path", "file_hash")

@@ -138,12 +138,12 @@ def word_lists(spark, folder):
 
 
 def _status_rows(spark, folder):
-    known = F.transform("words", lambda word: F.struct(F.when(F.lower(word) != word, word).alias("cmdb_id")))
     rows = word_lists(spark, folder).select(
         F.col("doc_id").alias("source_path"), F.lit("processed").alias("status"), F.col("source").alias("process_name"),
-        F.lit(None).cast("string").alias("process_id"), F.col("words").alias("applications"), known.alias("matches"),
-        F.lit(None).cast("string").alias("error_message"))
-    return reports.document_status_rows(rows).withColumns({name: F.col(name).cast("long") for name in ("applications", "matched", "unmatched")})
+        F.lit(None).cast("string").alias("process_id"), F.col("words").alias("applications"), F.lit(None).cast("string").alias("error_message"))
+    matches = word_mentions(spark, folder).withColumn(
+        "cmdb_id", F.when(F.lower("application_name") != F.col("application_name"), F.col("application_name")))
+    return reports.document_status_rows(rows, matches).withColumn("applications", F.col("applications").cast("long"))
 
 
 register("document_status_rows",
