@@ -21,6 +21,8 @@ TABLE_SCHEMAS = {
     "candidate_sources": model.CANDIDATE_SOURCE_SCHEMA,
     "decisions": model.DECISION_SCHEMA,
     "merge_states": model.MERGE_STATE_SCHEMA,
+    "queue_events": model.QUEUE_EVENT_SCHEMA,
+    "queue_evidence": model.QUEUE_EVIDENCE_SCHEMA,
 }
 PARTITION_COLUMN = {"nodes": "label", "edges": "rel_type"}
 

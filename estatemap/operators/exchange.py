@@ -86,18 +86,27 @@ def best_similar(names: DataFrame, graph: Graph, threshold: float) -> DataFrame:
         F.col("grp").alias("label"), "name", F.col("other").alias("suggested_match"), F.round("score", 3).alias("score"))
 
 
+def _values(rows: DataFrame, column: str) -> list[str]:
+    """The labels or relationship types at hand; the model has a few dozen."""
+    return sorted(row[0] for row in rows.select(column).distinct().collect())
+
+
 def merge_nodes(graph: Graph, rows: DataFrame) -> Graph:
     """Upsert imported elements; ``rows`` has label, node_id, name and the exchange columns."""
     columns = ["label", "name", "archimate_id", "archimate_source", "archimate_type"]
-    fresh = last_by(rows.select("node_id", *columns), ["node_id"], [F.col("archimate_source"), F.col("archimate_id")])
-    return graph.with_(nodes=overwrite(graph.nodes, conform(fresh, model.NODE_SCHEMA), ["node_id"], columns))
+    fresh = cut_lineage(conform(last_by(rows.select("node_id", *columns), ["node_id"], [F.col("archimate_source"), F.col("archimate_id")]), model.NODE_SCHEMA))
+    for label in _values(fresh, "label"):
+        graph = graph.with_label(label, overwrite(graph.label(label), fresh.filter(F.col("label") == label), ["node_id"], columns))
+    return graph
 
 
 def merge_relations(graph: Graph, rows: DataFrame) -> Graph:
     """Upsert imported relations; an edge that exists takes the new exchange type."""
-    fresh = last_by(conform(rows, model.EDGE_SCHEMA), EDGE_KEY, [F.col("archimate_rel_type")])
-    edges = overwrite(graph.edges, fresh, EDGE_KEY, ["archimate_rel_type"])
-    return graph.with_(edges=edges)
+    fresh = cut_lineage(last_by(conform(rows, model.EDGE_SCHEMA), EDGE_KEY, [F.col("archimate_rel_type")]))
+    for rel_type in _values(fresh, "rel_type"):
+        graph = graph.with_types([rel_type], overwrite(
+            graph.relation(rel_type), fresh.filter(F.col("rel_type") == rel_type), EDGE_KEY, ["archimate_rel_type"]))
+    return graph
 
 
 def judge_relations(relations: DataFrame, elements: DataFrame, mapping: Mapping) -> DataFrame:
@@ -198,18 +207,16 @@ def skipped_histogram(outcome: ExchangeImport) -> DataFrame:
 
 # Review of pending candidates -------------------------------------------------------------------------
 
-def add_pending(existing: DataFrame, fresh: DataFrame) -> DataFrame:
-    """First entry per identity wins."""
-    return existing.unionByName(fresh.join(existing.select(*IDENTITY), IDENTITY, "left_anti").select(*existing.columns))
-
-
 def confirm_pending(graph: Graph, chosen: DataFrame, evidence: DataFrame, mapping: Mapping) -> Graph:
     """Bind the identity of the chosen candidates to their suggested nodes and add their mapped relations."""
     names = graph.nodes.filter(F.col("name").isNotNull()).select("label", "name", "node_id")
     bound = chosen.join(names.withColumnRenamed("name", "suggested_match"), ["label", "suggested_match"])
-    one = first_by(bound.select("node_id", *IDENTITY), ["node_id"], [F.col("archimate_source"), F.col("archimate_id")])
-    nodes = graph.nodes.join(one.select("node_id", *[F.col(name).alias(f"_{name}") for name in IDENTITY]), "node_id", "left")
-    nodes = nodes.withColumns({name: F.coalesce(f"_{name}", name) for name in IDENTITY}).select(*model.NODE_SCHEMA.names)
+    bound = cut_lineage(bound)
+    one = first_by(bound.select("label", "node_id", *IDENTITY), ["label", "node_id"], [F.col("archimate_source"), F.col("archimate_id")])
+    named = cut_lineage(one.select("label", "node_id", *[F.col(name).alias(f"_{name}") for name in IDENTITY]))
+    for label in _values(named, "label"):
+        nodes = graph.label(label).join(named.filter(F.col("label") == label).drop("label"), "node_id", "left")
+        graph = graph.with_label(label, nodes.withColumns({name: F.coalesce(f"_{name}", name) for name in IDENTITY}).select(*model.NODE_SCHEMA.names))
     others = names.select(F.col("label").alias("other_label"), F.col("name").alias("other_name"), F.col("node_id").alias("other_id"))
     rows = bound.select("label", "node_id", *IDENTITY).join(evidence, IDENTITY).join(others, ["other_label", "other_name"])
     out = F.col("direction") == "outgoing"
@@ -221,11 +228,7 @@ def confirm_pending(graph: Graph, chosen: DataFrame, evidence: DataFrame, mappin
         F.col("relation_type").alias("archimate_rel_type"))
     mapped = placed.join(F.broadcast(mapping.graph_relations), ["src_label", "dst_label"], "left").withColumn(
         "rel_type", F.when(F.col("archimate_rel_type") == "Association", mapping.association).otherwise(F.col("rel_type")))
-    return merge_relations(graph.with_(nodes=nodes), mapped.filter(F.col("rel_type").isin(*model.RELATION_TYPES)))
-
-
-def drop_pending(pending: DataFrame, decided: DataFrame) -> DataFrame:
-    return pending.join(decided.select(*IDENTITY), IDENTITY, "left_anti")
+    return merge_relations(graph, mapped.filter(F.col("rel_type").isin(*model.RELATION_TYPES)))
 
 
 def set_element_types(graph: Graph, overrides: DataFrame) -> Graph:
@@ -234,9 +237,12 @@ def set_element_types(graph: Graph, overrides: DataFrame) -> Graph:
         F.col("label").isin(*model.EXPORT_LABELS) & (F.coalesce("name", F.lit("")) != "")
         & (F.coalesce("archimate_type", F.lit("")) != ""))
     chosen = first_by(valid.select("label", "name", F.col("archimate_type").alias("_type")), ["label", "name"], [F.col("_type")])
-    nodes = graph.nodes.join(chosen, ["label", "name"], "left").withColumn(
-        "archimate_type", F.coalesce("_type", "archimate_type"))
-    return graph.with_(nodes=nodes.select(*model.NODE_SCHEMA.names))
+    chosen = cut_lineage(chosen)
+    for label in _values(chosen, "label"):
+        own = chosen.filter(F.col("label") == label).drop("label")
+        nodes = graph.label(label).join(own, "name", "left").withColumn("archimate_type", F.coalesce("_type", "archimate_type"))
+        graph = graph.with_label(label, nodes.select(*model.NODE_SCHEMA.names))
+    return graph
 
 
 def export_elements(graph: Graph, mapping: Mapping) -> DataFrame:

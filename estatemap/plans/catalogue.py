@@ -199,9 +199,8 @@ def process_density(graph: Graph) -> DataFrame:
 
 
 def orphans(graph: Graph) -> DataFrame:
-    """Nodes without any relationship."""
-    linked = graph.edges.select(F.explode(F.array("src_id", "dst_id")).alias("node_id")).distinct()
-    return graph.nodes.join(linked, "node_id", "left_anti").select("label", "node_id", "name")
+    """Nodes without any relationship; an anti join would be pushed into every label and repeat all edges there."""
+    return degrees(graph).filter("fan_in = 0 AND fan_out = 0").select("label", "node_id", "name")
 
 
 def process_node(process_id: str):

@@ -9,7 +9,7 @@ from estatemap import model
 from estatemap.graph import Graph, GraphStore
 from estatemap.operators import decisions, matching, merging, quality, upserts
 from estatemap.operators.tables import conform
-from estatemap.plans import catalogue, import_run
+from estatemap.plans import catalogue, import_run, refresh
 from estatemap.sources import documents as docs
 from estatemap.session import cut_lineage
 from estatemap.sources import master_data
@@ -137,6 +137,35 @@ def test_import_is_idempotent(spark, imported, master):
     assert {r.process_write_action for r in again.documents.collect()} == {"updated"}
 
 
+def test_affected_refresh_equals_full_refresh(spark, imported, master):
+    """One renamed row, one that came and a decision taken back touch a process; the other keeps its edges unread."""
+    result, _ = imported
+    run = result.documents.drop("process_write_action")
+    third = run.filter("process_id = 'P1'").withColumns({
+        "process_id": F.lit("P3"), "process_name": F.lit("Other"), "source_path": F.lit("P3.txt"), "ordinal": F.lit(9),
+        "applications": F.array(F.struct(F.lit("Adobe Photo").alias("name"), F.lit("stark").alias("confidence")))})
+    run = cut_lineage(run.unionByName(third))
+    base = import_run.refresh_documents(result.graph, run, master)
+    graph, matches = Graph(cut_lineage(base.graph.nodes), cut_lineage(base.graph.edges)), cut_lineage(base.matches)
+    after = master.filter("cmdb_id != 'A2'").unionByName(spark.createDataFrame([("A2", "Adobe Foto", 9), ("A8", "Unlike All", 10)], "cmdb_id string, name string, ordinal long"), allowMissingColumns=True)
+    change = refresh.Change(master_before=master, master_after=after)
+    assert {r.process_id for r in refresh.touched_processes(run, matches, change).collect()} == {"P1", "P2", "P3"}
+    renamed = master.withColumn("name", F.when(F.col("cmdb_id") == "A3", "Adobe Photos").otherwise(F.col("name")))
+    change = refresh.Change(master_before=master, master_after=renamed)
+    part, touched = refresh.refresh_affected(graph, run, matches, renamed, change)
+    whole = import_run.refresh_documents(graph, run, renamed)
+    assert [r.process_id for r in touched.collect()] == ["P3"]
+    for rel in ("SERVES", "MAY_SERVE", "PARTICIPATES_IN", "FOLLOWS"):
+        assert edges_of(part.graph, rel) == edges_of(whole.graph, rel), rel
+    removed, added = refresh.replaced_edges(graph, part.graph, touched)
+    assert removed.count() == 0 and [(r.src_id, r.dst_id) for r in added.collect()] == [("Application:A3", "Process:P3")]
+    decided = spark.createDataFrame([("P2", "Closing", "BANKING gateway")], "process_id string, process string, anwendung_name string")
+    alias = spark.createDataFrame([("crm",)], "normalized_name string")
+    assert [r.process_id for r in refresh.touched_processes(run, matches, refresh.Change(decisions=decided)).collect()] == ["P2"]
+    assert [r.process_id for r in refresh.touched_processes(run, matches, refresh.Change(alias_keys=alias)).collect()] == ["P1"]
+    assert refresh.touched_processes(run, matches, refresh.Change()).count() == 0
+
+
 def test_decisions_survive_reimport_and_revert(spark, imported, master):
     result, rows = imported
     columns = "process string, process_id string, anwendung_im_prozess string, anwendung_in_cmdb string, cmdb_id string, source_path string"

@@ -285,11 +285,11 @@ graph_query("seed_nodes",
             "SELECT min(node_id) AS node_id, min(label) AS label, name FROM nodes GROUP BY name HAVING count(*) = 1")(
     lambda g: traverse.resolve_seeds(g, g.nodes.select(F.col("name").alias("value"))))
 
-_STEPS = (", s AS (SELECT src_id AS a, dst_id AS b FROM edges WHERE rel_type IN ('RUNS_ON', 'SUPPORTS') UNION SELECT dst_id, src_id FROM edges "
-          "WHERE rel_type IN ('RUNS_ON', 'SUPPORTS')), d0 AS (SELECT node_id FROM nodes WHERE label = 'Server' AND name = 'NATION_15'), "
-          "d1 AS (SELECT DISTINCT b AS node_id FROM s JOIN d0 ON a = node_id WHERE b NOT IN (SELECT node_id FROM d0)), "
-          "d2 AS (SELECT DISTINCT b AS node_id FROM s JOIN d1 ON a = node_id WHERE b NOT IN (SELECT node_id FROM d0) AND b NOT IN (SELECT node_id FROM d1)), "
-          "r AS (SELECT node_id, 0 AS depth FROM d0 UNION ALL SELECT node_id, 1 FROM d1 UNION ALL SELECT node_id, 2 FROM d2) ")
+_STEPS = (", s AS MATERIALIZED (SELECT src_id AS a, dst_id AS b FROM edges WHERE rel_type IN ('RUNS_ON', 'SUPPORTS') UNION SELECT dst_id, src_id FROM edges "
+          "WHERE rel_type IN ('RUNS_ON', 'SUPPORTS')), d0 AS MATERIALIZED (SELECT node_id FROM nodes WHERE label = 'Server' AND name = 'NATION_15'), "
+          "d1 AS MATERIALIZED (SELECT DISTINCT b AS node_id FROM s JOIN d0 ON a = node_id WHERE b NOT IN (SELECT node_id FROM d0)), "
+          "d2 AS MATERIALIZED (SELECT DISTINCT b AS node_id FROM s JOIN d1 ON a = node_id WHERE b NOT IN (SELECT node_id FROM d0) AND b NOT IN (SELECT node_id FROM d1)), "
+          "r AS MATERIALIZED (SELECT node_id, 0 AS depth FROM d0 UNION ALL SELECT node_id, 1 FROM d1 UNION ALL SELECT node_id, 2 FROM d2) ")
 
 
 def _around(g):
