@@ -35,7 +35,8 @@ def file_heads(spark: SparkSession, path: str, *, recursive: bool = False, glob:
         reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
                                  F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
         .filter((F.col("block") == 0) & (F.trim("value") != "")))
-    outside = F.regexp_replace(F.col("header"), '"(?:[^"]|"")*"', "")
+    # A doubled quote ends one quoted part and begins the next; alternatives in a loop would overflow the stack on long headers.
+    outside = F.regexp_replace(F.col("header"), '"[^"]*+"', "")
     commas = F.char_length(F.regexp_replace(outside, "[^,]", ""))
     semicolons = F.char_length(F.regexp_replace(outside, "[^;]", ""))
     first = Window.partitionBy("path").orderBy("at")
@@ -63,6 +64,30 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return handle.getFileSystem(spark._jsc.hadoopConfiguration()).exists(handle)
 
 
+def read_master_folder(spark: SparkSession, root: str, id_column: str = "id", name_column: str = "name", *, multi_line: bool = True) -> DataFrame:
+    """All-string rows of every export below ``root`` that has both columns, with ``path``.
+
+    Files may have different separators and headers; those that share both are read by one scan. The driver sees the
+    paths, as it does when it lists a folder.
+    """
+    heads = file_heads(spark, root, recursive=True, glob="*.[cC][sS][vV]")
+    wanted = F.array(F.lit(id_column), F.lit(name_column))
+    usable = heads.filter(F.size(F.array_except(wanted, header_fields(F.col("header"), F.col("separator")))) == 0)
+    shapes: dict[tuple[str, str], list[str]] = {}
+    for row in usable.collect():
+        shapes.setdefault((row.header, row.separator), []).append(row.path)
+    parts = []
+    for (_, separator), paths in sorted(shapes.items()):
+        reader = (spark.read.option("header", "true").option("sep", separator).option("encoding", "UTF-8").option("escape", '"')
+                  .option("multiLine", str(multi_line).lower()))
+        rows = reader.csv(sorted(paths))
+        strings = [F.col(f"`{name}`").cast("string").alias(name) for name in rows.columns]
+        parts.append(rows.select(*strings, F.col("_metadata.file_path").alias("path")))
+    if not parts:
+        raise MasterDataError(f"no export with {id_column} and {name_column} below {root}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def read_master_csv(spark: SparkSession, path: str, id_column: str = "id", name_column: str = "name", *,
                     multi_line: bool = True) -> DataFrame:
     """All-string rows of one export, with ``line_number``.
