@@ -193,6 +193,24 @@ def property_conformance(nodes: DataFrame) -> DataFrame:
     return used.join(F.broadcast(allowed), ["label", "key"], "left_anti")
 
 
+#: Columns of an edge that hold properties; all other properties are in ``props``.
+EDGE_PROPERTY_COLUMNS = ("confidence", "source", "raw_name", "score", "source_kind", "archimate_rel_type")
+
+
+def edge_property_conformance(edges: DataFrame) -> DataFrame:
+    """Properties that a relationship type carries without declaring them, with the number of edges.
+
+    Keys are counted per type before they meet the declaration, so only (type, key) rows are compared.
+    """
+    rows = [(rel_type, key) for rel_type, keys in model.EDGE_PROPERTIES.items() for key in keys]
+    allowed = edges.sparkSession.createDataFrame(rows, "rel_type string, key string")
+    filled = F.array_compact(F.array(*[F.when(F.col(name).isNotNull(), F.lit(name)) for name in EDGE_PROPERTY_COLUMNS]))
+    keys = F.concat(filled, F.coalesce(F.map_keys("props"), F.array().cast("array<string>")))
+    used = edges.select("rel_type", F.explode(F.array_distinct(keys)).alias("key")).groupBy("rel_type", "key").agg(
+        F.count(F.lit(1)).alias("edge_count"))
+    return used.join(F.broadcast(allowed), ["rel_type", "key"], "left_anti")
+
+
 def unclassified_element_types(spark: SparkSession, imported: list[str], ignored: list[str]) -> DataFrame:
     known = spark.createDataFrame([(kind,) for kind in ELEMENT_TYPES], "element_type string")
     return known.filter(~F.col("element_type").isin(*imported, *ignored)).orderBy("element_type")
