@@ -9,13 +9,13 @@ hash function over the set; two sets of Jaccard similarity s differ in about (1
   or more errors, so in ``SURE`` chunks or more there is one at most. The errors a chunk is allowed are enumerated: each
   of its four symbols is left out in turn, and rows meet on the chunk and the other three symbols.
 * Sets that meet are first compared with the head of their bucket, the one that has most company over all its chunks.
-  Then only sets of different components meet in a bucket. A bucket with more than ``CROWD`` of them is split by each later
-  chunk in the same way, which finds all its pairs again, since two chunks are sure.
+  Then only sets of different components meet, and of these only sets that can reach the similarity with shingles of
+  another component. A bucket with more than ``CROWD`` of them is split by the rarest shingles of its sets, as many as two
+  sets of the similarity must share one of: near copies that are all alike but not alike enough then hardly meet.
 * Pairs within ``FARTHEST`` symbols are confirmed by counting common shingles of the full sets.
 
 Signatures are made once per document, and met once per distinct set. Entries are a few numbers each; texts are read a
-second time only for sets that have a partner. Crowded buckets are dealt out by their second chunk, so a passage that a
-third of all documents share never makes all their pairs in one task.
+second time only for sets that meet another. A passage that a third of all documents share does not make all their pairs.
 
 Defined cases: null texts and texts without words have the empty set and are linked with nothing; rows of one id are
 decided as one row each and link what their texts link; a component of rows without ids has a null component id and
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatemap.llm.common import cut_lineage, small_or_shuffled, stored
@@ -43,8 +43,8 @@ CHUNKS = SYMBOLS // 4
 FARTHEST = 36
 #: Chunks of a pair within that distance that have one error or none.
 SURE = CHUNKS - FARTHEST // 2
-#: Sets of different components in a bucket up to which they are paired there.
-CROWD = 256
+#: Sets in a bucket of several components up to which they are paired there.
+CROWD = 16
 _LANE = BITS + 1
 _dealt = np.random.default_rng(11)
 _FACTORS = _dealt.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,11 +58,10 @@ def signature(found: np.ndarray) -> np.ndarray:
     """The chunks of a set's signature: four symbols in one number each, with a free bit above every symbol."""
     least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(found), STEP):
-        mixed = found[start:start + STEP, None] * _FACTORS + _SHIFTS
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= _MIX
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
-    symbols = (least & np.uint64((1 << BITS) - 1)).reshape(CHUNKS, 4)
+        mixed = found[start:start + STEP, None] * _FACTORS
+        mixed += _SHIFTS
+        np.minimum(least, mixed.min(axis=0), out=least)
+    symbols = (((least ^ (least >> np.uint64(32))) * _MIX) >> np.uint64(64 - BITS)).reshape(CHUNKS, 4)
     return (symbols << (np.arange(4, dtype=np.uint64) * np.uint64(_LANE))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
@@ -145,31 +144,66 @@ def head_pairs(met: DataFrame, signatures: DataFrame, farthest: int) -> DataFram
             .filter(_apart("a", "b") <= farthest).select("src", "dst"))
 
 
-def _across(rows: DataFrame, farthest: int) -> DataFrame:
+def _across(rows: DataFrame, farthest: int, also: str = "true") -> DataFrame:
     """Pairs of different roots within ``farthest`` symbols that meet in a bucket of ``rows`` (``bucket, node, root, c0, ...``)."""
     a, b = rows.alias("a"), rows.alias("b")
     return (a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-                   & (_apart("a", "b") <= farthest))
+                   & F.expr(also) & (_apart("a", "b") <= farthest))
             .select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")))
 
 
-def cross_pairs(met: DataFrame, signatures: DataFrame, roots: DataFrame, farthest: int, crowd: int) -> DataFrame:
-    """``src, dst``: the pairs within ``farthest`` symbols whose ends are in different components of ``roots``."""
-    rooted = met.select("slot", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _mixed(rooted: DataFrame, crowd: int) -> DataFrame:
+    """The rows of ``rooted`` whose bucket holds several roots, with ``crowded``."""
     mixed = (rooted.groupBy("slot", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
              .filter("low != high").select("slot", "key", (F.col("n") > crowd).alias("crowded")))
-    rows = cut_lineage(rooted.join(mixed, ["slot", "key"]))
-    wide = _wide(signatures)
-    plain = rows.filter("not crowded").select(F.xxhash64("slot", "key").alias("bucket"), "node", "root").join(wide, "node")
-    pairs = _across(plain, farthest)
-    crowds = rows.filter("crowded")
-    if not crowds.isEmpty():
-        later = F.filter(_keys(range(CHUNKS), lambda at: F.col(f"c{at}")), lambda entry: F.shiftright(entry.slot.cast("int"), 2) > F.shiftright(F.col("slot").cast("int"), 2))
-        light = cut_lineage(crowds.select("slot", "key", "node", "root").join(wide, "node")
-                            .select(F.xxhash64("slot", "key").alias("first"), "node", "root", F.explode(later).alias("entry"))
-                            .select(F.xxhash64("first", "entry.slot", "entry.key").alias("bucket"), "node", "root"))
-        both = (light.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket"))
-        pairs = pairs.unionByName(_across(light.join(both, "bucket").join(wide, "node"), farthest))
+    return cut_lineage(rooted.drop("crowded").join(mixed, ["slot", "key"]))
+
+
+def crossing_grams(rooted: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, root, n, gram, many, used``: the shingles of the nodes of ``rooted`` that another root has as well.
+
+    ``n`` is the size of the set, ``many`` the number of sets with the shingle, ``used`` how many such shingles the node has.
+    """
+    grams = sets.join(rooted.select("node", "root").distinct(), "node").select("node", "root", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram"))
+    common = (grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many"))
+              .filter("low != high").select("gram", "many"))
+    return grams.join(common, "gram").withColumn("used", F.count(F.lit(1)).over(Window.partitionBy("node")))
+
+
+def rare_rows(crossing: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``crossing`` that two sets of different roots with ``percent`` percent in common must share one of.
+
+    Shingles are ordered by rarity, those of one root only before all others; such sets meet in the first ones of both.
+    """
+    order = Window.partitionBy("node").orderBy("many", "gram")
+    place = F.col("n") - F.col("used") + F.row_number().over(order) - 1
+    return crossing.withColumn("place", place).filter(F.expr(f"place <= n - ({percent} * n + 99) div 100")).select("gram", "node", "root", "n", "place")
+
+
+def may_reach(percent: int) -> str:
+    """Whether rows a and b of one shingle can be the first that a pair of the similarity has in common: by length, place and the smaller set."""
+    early = lambda row: f"{row}.place <= {row}.n - (2 * {percent} * {row}.n + {99 + percent}) div {100 + percent}"
+    return (f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) AND {100 + percent} * least(a.n - a.place, b.n - b.place) >= {percent} * (a.n + b.n) "
+            f"AND CASE WHEN a.n <= b.n THEN {early('a')} ELSE {early('b')} END")
+
+
+def cross_pairs(met: DataFrame, signatures: DataFrame, roots: DataFrame, farthest: int, crowd: int, sets: DataFrame | None = None,
+                percent: int = 80) -> DataFrame:
+    """``src, dst``: the pairs within ``farthest`` symbols whose ends are in different components of ``roots``; those that ``sets`` rule out may be missing."""
+    rooted = met.select("slot", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows, wide = _mixed(rooted, crowd), _wide(signatures)
+    direct = lambda rows: _across(rows.select(F.xxhash64("slot", "key").alias("bucket"), "node", "root").join(wide, "node"), farthest)
+    if sets is None:
+        return direct(rows).distinct()
+    crossing = crossing_grams(rows, sets).filter(100 * F.col("used") >= percent * F.col("n"))
+    rare = cut_lineage(rare_rows(crossing, percent))
+    rows = _mixed(rows.join(cut_lineage(rare.select("node").distinct()), "node", "left_semi"), crowd)
+    pairs, crowded = direct(rows.filter("not crowded")), cut_lineage(rows.filter("crowded").select("node").distinct())
+    if not crowded.isEmpty():
+        ends = cut_lineage(rare.join(crowded, "node", "left_semi"))
+        several = ends.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("gram")
+        met_there = ends.join(several, "gram").select(F.col("gram").alias("bucket"), "node", "root", "n", "place").join(wide, "node")
+        pairs = pairs.unionByName(_across(met_there, farthest, may_reach(percent)))
     return pairs.distinct()
 
 
@@ -181,7 +215,7 @@ def links(signatures: DataFrame, sets_of, percent: int = 80, farthest: int = FAR
     met = cut_lineage(met_entries(signatures))
     sets = cut_lineage(sets_of(met.select("node").distinct()))
     first = cut_lineage(confirmed(head_pairs(met, signatures, farthest), sets, percent))
-    return first.unionByName(confirmed(cross_pairs(met, signatures, components(first), farthest, crowd), sets, percent))
+    return first.unionByName(confirmed(cross_pairs(met, signatures, components(first), farthest, crowd, sets, percent), sets, percent))
 
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, percent: int = 80,
@@ -199,8 +233,11 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     roots = components(links(signatures.select("node", "chunks"), sets_of, percent, farthest, crowd))
     rooted = marks.select("id", "n", "node").join(roots, "node", "left").select("id", "n", "node", F.coalesce("root", "node").alias("root"))
     filled = cut_lineage(rooted.filter("node IS NOT NULL"))
-    least = filled.groupBy("root").agg(F.min("id").alias("component_id"))
-    found = filled.join(least, "root").select("id", "n", "component_id").unionByName(
+    # Only components of several rows have to be looked up; a single row is its own.
+    least = cut_lineage(filled.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+                        .withColumn("several", F.lit(True)))
+    named = filled.join(small_or_shuffled(least), "root", "left")
+    found = named.select("id", "n", F.when(F.col("several"), F.col("component_id")).otherwise(F.col("id")).alias("component_id")).unionByName(
         rooted.filter("node IS NULL").select("id", "n", F.col("id").alias("component_id")))
     return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id",
                         F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
