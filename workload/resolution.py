@@ -95,6 +95,32 @@ def cascade_of_digests(spark, folder):
         model.empty(spark, model.REJECTED_SCHEMA)).drop("ordinal")
 
 
+# Names of three digests. By supplier: two of the three words (containment), a name cut short (ratio), a confirmed term, a rejected one.
+_THREE = "concat(sha2(concat('a', s_suppkey), 256), ' ', sha2(concat('b', s_suppkey), 256), ' ', sha2(concat('c', s_suppkey), 256))"
+_THREE_TERM = f"CASE s_suppkey % 4 WHEN 0 THEN substring({_THREE}, 1, 129) WHEN 1 THEN substring({_THREE}, 1, 194 - CAST(s_suppkey % 24 AS INT)) ELSE concat('term ', s_suppkey) END"
+NAMED = (f"SELECT CAST(s_suppkey AS STRING) AS cmdb_id, {_THREE} AS name, {_THREE_TERM} AS term, concat('P', s_suppkey) AS process_id, concat('process ', s_suppkey) AS process, "
+         "s_suppkey AS ordinal, s_suppkey % 4 AS kind, s_suppkey % 8 AS half FROM {supplier}")
+_NAMED = plain(NAMED).replace("sha2(", "sha256(").replace(", 256)", ")").replace("AS STRING", "AS VARCHAR")
+
+
+@register("decided_cascade", f"""
+    WITH named AS ({_NAMED}), found AS (SELECT *, CASE WHEN kind = 0 THEN 0.9::DOUBLE WHEN kind = 1 AND half <> 5 THEN 2 * length(term) / (194.0 + length(term))::DOUBLE END AS score FROM named)
+    SELECT 'doc ' || cmdb_id AS source_path, process, process_id, term AS application_name, ordinal AS position,
+        CASE WHEN kind = 2 THEN 'X' || cmdb_id WHEN score IS NOT NULL THEN cmdb_id END AS cmdb_id, CASE WHEN kind = 2 THEN 'chosen' WHEN score IS NOT NULL THEN name END AS matched_name,
+        CASE WHEN kind = 2 OR score >= 0.95 THEN 'stark' ELSE 'schwach' END AS confidence,
+        CASE WHEN kind = 2 THEN 'knowledge_base_manual' WHEN kind = 3 THEN 'rejected' WHEN score IS NOT NULL THEN 'fuzzy' ELSE 'unmatched' END AS source,
+        CASE WHEN kind = 2 THEN 1.0 ELSE coalesce(score, 0) END AS score FROM found""")
+def decided_cascade(spark, folder):
+    """Confirmed and rejected terms, a rejected pair, ratio and containment in one cascade at the default threshold."""
+    named = query(spark, folder, NAMED)
+    mentioned = named.select(
+        F.concat(F.lit("doc "), "cmdb_id").alias("source_path"), "process", "process_id", F.col("term").alias("application_name"), F.col("ordinal").alias("position"))
+    decision = ["process", "process_id", F.col("term").alias("anwendung_name")]
+    confirmed = named.filter("kind = 2").select(*decision, F.concat(F.lit("X"), "cmdb_id").alias("cmdb_id"), F.lit("chosen").alias("resolved_to"), F.lit(model.SERVES_MANUAL).alias("quelle"))
+    rejected = named.filter("kind = 3 OR half = 5").select(*decision, F.when(F.col("half") == 5, F.col("cmdb_id")).alias("cmdb_id"))
+    return matching.match_terms(mentioned, named.select("cmdb_id", "name", "ordinal"), confirmed, rejected).drop("ordinal")
+
+
 def words(spark, folder, name):
     """Distinct words of every text, the vocabulary that similarity is tried on."""
     return table(spark, folder, name).select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).filter(
