@@ -73,3 +73,38 @@ def test_fuzzy_pairs_equal_brute_force(spark):
                 strong = raw >= 0.95 or (raw >= 0.85 and norm >= 0.95)
                 wanted[(term, name)] = (round(score, 9), "stark" if strong else "schwach")
     assert found == wanted and len(wanted) > 20
+
+
+def digests(seed, count, letters="0123456789abcdef"):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(20, 64))) for _ in range(count)]
+
+
+@pytest.mark.parametrize("ratio", [0.8, 0.85, 1.0])
+def test_texts_of_few_letters_lose_no_pair(spark, ratio):
+    rng = random.Random(7)
+    right = digests(6, 300)
+    left = []
+    for value in right:
+        letters = list(value)
+        for _ in range(rng.randint(0, len(letters) // 6)):
+            at, action = rng.randrange(len(letters)), rng.choice("ids")
+            letters[at:at + 1] = {"i": [letters[at], rng.choice("0123")], "d": [], "s": [rng.choice("abcdef")]}[action]
+        left.append("".join(letters))
+    left += [value[rng.randint(0, 9):] for value in right[:60]] + right[:5]
+    a = spark.createDataFrame([("", value) for value in set(left)], "grp string, text string")
+    b = spark.createDataFrame([("", value, ratio) for value in set(right)], "grp string, text string, need double")
+    found = {(row.a, row.b) for row in ratio_candidates(a, b, ratio).collect()}
+    wanted = {(x, y) for x in left for y in right if SequenceMatcher(None, x, y, autojunk=False).ratio() >= ratio}
+    assert wanted and wanted <= found
+    # By rare q-grams and common letters alone, far more pairs are left.
+    assert ratio < 0.85 or len(found) < 2 * len(right)
+
+
+def test_rows_made_from_texts_are_not_broadcast(spark):
+    """Their number is far above what the planner expects of an explode."""
+    rows = digests(8, 200)
+    a = spark.createDataFrame([("", value) for value in rows], "grp string, text string")
+    b = a.withColumn("need", F.lit(0.85))
+    plan = ratio_candidates(a, b, 0.85)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
