@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estatemap.llm import decontaminate, exact_dedup, jaccard, packing, quality
+from estatemap.llm import decontaminate, exact_dedup, jaccard, packing, quality, simhash
 from estatemap.llm.common import stored, table
 from estatemap.llm.queries import quality_model, tokenizer_path
 
@@ -25,8 +25,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that share four fifths of their 5-word shingles the document with the least id stays."""
-    return jaccard.drop_similar(docs)
+    """Of each group of near copies the document with the least id stays.
+
+    Texts are linked whose SimHash fingerprints differ in three bits or fewer, and texts that share four fifths of their 5-word shingles.
+    """
+    return jaccard.drop_similar(docs, also=simhash.rooted_rows(docs))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

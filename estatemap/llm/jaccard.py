@@ -128,8 +128,24 @@ def links(sets: DataFrame) -> DataFrame:
     return first.unionByName(_verified(crossed, sets))
 
 
-def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> DataFrame:
-    """``docs`` with one row of each group of similar texts, that of the least id, all columns as they were; of fully equal rows one stays."""
+def _joined_groups(known: DataFrame, also: DataFrame) -> DataFrame:
+    """``known`` (``id, hash, root``) with the groups that ``also`` (same columns; equal hashes are one group) has in common joined into one."""
+    other = F.xxhash64(F.lit("also"), "other")
+    both = known.select("hash", "root").distinct().join(also.select("hash", F.col("root").alias("other")).distinct(), "hash")
+    both = cut_lineage(both.select("root", "other").distinct())
+    wide = both.groupBy("other").agg(F.count_distinct("root").alias("n")).filter("n > 1").select("other")
+    # Groups named by ``also`` get numbers of their own, so that both kinds can be nodes of one graph.
+    links = both.join(wide, "other", "left_semi").select(F.xxhash64(F.lit("own"), "root").alias("src"), other.alias("dst"))
+    whole = components(cut_lineage(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()))
+    mine = known.withColumn("node", F.xxhash64(F.lit("own"), "root"))
+    return mine.join(whole.withColumnRenamed("root", "whole"), "node", "left").select("id", "hash", F.coalesce("whole", "node").alias("root"))
+
+
+def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, also: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one row of each group of similar texts, that of the least id, all columns as they were; of fully equal rows one stays.
+
+    ``also``: ``id, hash, root`` of every row by another method, whose groups are joined with these.
+    """
     texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("hash"), F.col(text_column).alias("text"))
     marks = cut_lineage(texts.mapInArrow(_marks(width), f"id {dict(texts.dtypes)['id']}, hash long, node long, bands array<long>"))
     entries = marks.select("node", F.explode("bands").alias("key"))
@@ -141,4 +157,6 @@ def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     roots = components(links(sets))
     known = cut_lineage(marks.select("id", "hash", "node").join(roots, "node", "left")
                         .select("id", "hash", F.coalesce("root", "node").alias("root")))
+    if also is not None:
+        known = cut_lineage(_joined_groups(known, also))
     return keep_first(docs, known, id_column, text_column)

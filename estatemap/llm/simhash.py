@@ -190,8 +190,13 @@ def keep_first(docs: DataFrame, known: DataFrame, id_column: str, text_column: s
     return marked.filter("turn = 1").select(*columns)
 
 
-def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = BITS) -> DataFrame:
-    """``docs`` with one row of each group, that of the least id, all columns as they were; of fully equal rows one stays."""
+def rooted_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = BITS) -> DataFrame:
+    """``id, hash, root`` of every row; rows of one root are one group."""
     rows = cut_lineage(fingerprints(docs, id_column, text_column).select("id", "fp", "hash"))
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
-    return keep_first(docs, rows.join(_rooted(distinct, bits).select("fp", "root"), "fp").select("id", "hash", "root"), id_column, text_column)
+    return rows.join(_rooted(distinct, bits).select("fp", "root"), "fp").select("id", "hash", "root")
+
+
+def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each group, that of the least id, all columns as they were; of fully equal rows one stays."""
+    return keep_first(docs, rooted_rows(docs, id_column, text_column, bits), id_column, text_column)
