@@ -164,3 +164,14 @@ def test_components_of_chains_and_stars(spark):
     frame = spark.createDataFrame(chain, "src long, dst long")
     found = {row.node: row.root for row in components(frame).collect()}
     assert found == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 161)}
+
+
+def test_few_links_take_few_tasks(spark):
+    frame = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "src long, dst long").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components(frame)
+        assert found.rdd.getNumPartitions() == 1
+        assert {row.node: row.root for row in found.collect()} == {**{i: 0 for i in range(1, 41)}, 101: 100}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
