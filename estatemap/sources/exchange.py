@@ -166,14 +166,14 @@ def read_exchange(spark: SparkSession, path: str, languages: tuple[str, ...] = L
     return elements_from(records("element", ELEMENT_XML), languages), relationships.filter(complete)
 
 
-def write_exchange(elements: DataFrame, relations: DataFrame, path: str) -> None:
-    """Element and relationship records as XML part files below ``path``."""
+def write_exchange(elements: DataFrame, relations: DataFrame, path: str, compression: str | None = None) -> None:
+    """Element and relationship records as XML part files below ``path``, plain or in a ``compression`` that readers know by the file name."""
     space = 'xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'
 
     def save(records: DataFrame, root: str, row: str) -> None:
         # Name validation would refuse the colon of prefixed attributes.
         records.write.format("xml").option("rootTag", f"{root} {space}").option("rowTag", row).option(
-            "validateName", "false").save(f"{path}/{root}")
+            "validateName", "false").option("compression", compression or "none").save(f"{path}/{root}")
 
     save(elements.select(
         F.col("identifier").alias("_identifier"), F.col("element_type").alias("_xsi:type"),

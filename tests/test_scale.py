@@ -31,3 +31,14 @@ def test_applications_are_computed_once(spark, tmp_path):
         1: [(0, "Order.System", "schwach"), (1, "ship.", "stark"), (2, "Pay", "schwach")],
         5: [(0, "Pay.", "stark"), (1, "Zed", "schwach")], 6: [(0, "b.", "stark")]}
     assert documents.dedup_applications(spark.createDataFrame([(None,)], "raw_applications array<struct<name:string,confidence:string>>")).first().applications is None
+
+
+def test_exchange_files_may_be_compressed(spark, tmp_path):
+    elements = spark.createDataFrame([("e1", "Node", "Müller & <Söhne>"), ("e2", "Node", "b")], "identifier string, element_type string, name string")
+    relations = spark.createDataFrame([("r1", "Serving", "e1", "e2")], "identifier string, relation_type string, source string, target string")
+    exchange_source.write_exchange(elements, relations, f"{tmp_path}/x", "gzip")
+    files = [name for _, _, names in os.walk(f"{tmp_path}/x") for name in names if name.startswith("part-")]
+    assert files and all(name.endswith(".gz") for name in files)
+    found, linked = exchange_source.read_exchange(spark, f"{tmp_path}/x/*")
+    assert sorted((r.archimate_id, r.archimate_type, r.name) for r in found.collect()) == [("e1", "Node", "Müller & <Söhne>"), ("e2", "Node", "b")]
+    assert [r.archimate_id for r in linked.collect()] == ["r1"]

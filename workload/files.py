@@ -84,7 +84,7 @@ def exchange_files(spark, folder):
     mapping, path = exchange_source.default_mapping(spark), scratch(spark, "xml")
     g = graph(spark, folder)
     elements = exchange.export_elements(g, mapping)
-    exchange_source.write_exchange(elements, exchange.export_relations(g, mapping, elements), path)
+    exchange_source.write_exchange(elements, exchange.export_relations(g, mapping, elements), path, "gzip")
     return exchange_source.read_exchange(spark, f"{path}/*")
 
 
