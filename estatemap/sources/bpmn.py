@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatemap import model
 from estatemap.functions import text
+from estatemap.session import cut_lineage
 
 # Elements and attributes that may name an application.
 APPLICATION_TAGS = (
@@ -23,6 +24,11 @@ _ATTRIBUTE_PREFIX = r"(\s)[A-Za-z_][\w.-]*:([A-Za-z_][\w.-]*\s*=)"
 _NAMESPACES = r"\sxmlns(?::[\w.-]+)?\s*=\s*(?:\"[^\"]*\"|'[^']*')"
 
 
+def _computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with ``columns``, computed once per row: what reads or filters them is not merged into them as with ``withColumns``."""
+    return rows.select("*", F.inline_outer(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
+
+
 def _bare(xml):
     cleaned = F.regexp_replace(xml, r"(?s)<\?.*?\?>|<!--.*?-->", "")
     cleaned = F.regexp_replace(cleaned, _NAMESPACES, "")
@@ -47,11 +53,10 @@ def read_processes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``texts`` has path and text. Columns: path, ordinal, structural_id, structural_name, fragment.
     A file whose tags do not balance is malformed and gives an error row.
     """
-    cleaned = texts.withColumn("_xml", _bare(F.col("text")))
+    cleaned = _computed(texts, _xml=_bare(F.col("text")))
     opened = F.size(F.regexp_extract_all("_xml", F.lit(r"(<[A-Za-z_][^<>]*[^/<>]>|<[A-Za-z_]>)"), 1))
     closed = F.size(F.regexp_extract_all("_xml", F.lit(r"(</[A-Za-z_][^<>]*>)"), 1))
-    cleaned = cleaned.withColumns({
-        "_fragments": F.regexp_extract_all("_xml", F.lit(_PROCESS), 1), "_sound": opened == closed})
+    cleaned = _computed(cleaned, _fragments=F.regexp_extract_all("_xml", F.lit(_PROCESS), 1), _sound=opened == closed)
     readable = F.coalesce(F.col("_sound") & (F.size("_fragments") > 0), F.lit(False))
     errors = cleaned.filter(~readable).select(
         "path", F.lit(model.STATUS_ERROR).alias("status"),
@@ -64,16 +69,19 @@ def read_processes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return processes, errors
 
 
+def _participants(document: str) -> Column:
+    """(structural_id, participant) of the named, non-generic participants of a document that refer to a process."""
+    tags = F.regexp_extract_all(document, F.lit(_PARTICIPANT), 1)
+    named = F.transform(tags, lambda tag: F.struct(
+        text.process_ref(_attribute(tag, "processRef")).alias("structural_id"),
+        text.model_name(_attribute(tag, "name")).alias("participant")))
+    return F.filter(named, lambda each: (
+        (each["participant"] != "") & (each["structural_id"] != "") & ~text.is_generic_participant(each["participant"])))
+
+
 def participants(processes: DataFrame) -> DataFrame:
     """(path, structural_id, participant) of named, non-generic participants that refer to the process."""
-    tags = processes.select("path", "document").distinct().select(
-        "path", F.explode(F.regexp_extract_all("document", F.lit(_PARTICIPANT), 1)).alias("tag"))
-    named = tags.select(
-        "path", text.process_ref(_attribute(F.col("tag"), "processRef")).alias("structural_id"),
-        text.model_name(_attribute(F.col("tag"), "name")).alias("participant"))
-    return named.filter(
-        (F.col("participant") != "") & (F.col("structural_id") != "")
-        & ~text.is_generic_participant(F.col("participant"))).distinct()
+    return processes.select("path", F.inline_outer(_participants("document"))).filter("participant IS NOT NULL").distinct()
 
 
 def process_entries(processes: DataFrame) -> DataFrame:
@@ -83,16 +91,17 @@ def process_entries(processes: DataFrame) -> DataFrame:
         text.model_name(_attribute(tag, attribute)) for attribute in APPLICATION_ATTRIBUTES])))
     lanes = F.filter(F.transform(_tags("fragment", ("lane",)), lambda tag: text.model_name(_attribute(tag, "name"))),
                      lambda name: name != "")
-    elements = processes.select(
+    # Written once: the models are parsed for the processes and their participants together.
+    read = cut_lineage(processes.select(
         "path", "ordinal", "structural_id",
         F.coalesce(F.nullif("structural_name", F.lit("")), F.nullif("structural_id", F.lit("")),
                    F.lit("Unnamed Process")).alias("process_name"),
         F.array_sort(F.array_distinct(lanes)).alias("lanes"),
-        F.filter(names, text.is_application_like).alias("_elements"))
+        F.filter(names, text.is_application_like).alias("_elements"), _participants("document").alias("_named")))
     # The participants of one process are a part of its own file.
-    joined = participants(processes).groupBy("path", "structural_id").agg(F.collect_set("participant").alias("_participants"))
+    joined = read.select("path", F.inline("_named")).groupBy("path", "structural_id").agg(F.collect_set("participant").alias("_participants"))
     none = F.array().cast("array<string>")
-    return elements.join(joined, ["path", "structural_id"], "left").select(
+    return read.drop("_named").join(joined, ["path", "structural_id"], "left").select(
         "path", "ordinal", "structural_id", "process_name", "lanes",
         F.array_sort(F.array_union(F.coalesce("_participants", none), "_elements")).alias("applications"))
 

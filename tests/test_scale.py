@@ -42,3 +42,18 @@ def test_exchange_files_may_be_compressed(spark, tmp_path):
     found, linked = exchange_source.read_exchange(spark, f"{tmp_path}/x/*")
     assert sorted((r.archimate_id, r.archimate_type, r.name) for r in found.collect()) == [("e1", "Node", "Müller & <Söhne>"), ("e2", "Node", "b")]
     assert [r.archimate_id for r in linked.collect()] == ["r1"]
+
+
+def test_models_are_parsed_once(spark):
+    text = ("<d><participant name='PoolOne' processRef='x:P1'/><participant name='Two' processRef='P1'/>"
+            "<process id='P1'><lane name='L'/></process><process id='P2'/></d>")
+    other = "<d><participant name='Three' processRef='P1'/><process id='P9'/></d>"
+    rows = spark.createDataFrame([("f", text), ("f", text), ("f", other), (None, text), ("n", None)], "path string, text string")
+    processes, errors = bpmn.read_processes(rows)
+    # Removing comments is the first step of the parse.
+    assert plan(processes).count("<!--") == 1
+    found = sorted((r.path or "", r.structural_id, r.lanes, r.applications) for r in bpmn.process_entries(processes).collect())
+    one = ["Pool One", "Three", "Two"]
+    assert found == [("", "P1", ["L"], []), ("", "P2", [], []), ("f", "P1", ["L"], one), ("f", "P1", ["L"], one), ("f", "P2", [], []), ("f", "P2", [], []), ("f", "P9", [], [])]
+    assert sorted((r.path, r.structural_id, r.participant) for r in bpmn.participants(processes).collect() if r.path) == [("f", "P1", name) for name in one]
+    assert [r.path for r in errors.collect()] == ["n"]

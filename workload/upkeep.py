@@ -323,7 +323,8 @@ graph_query("element_type_overrides",
 
 def _models(spark, folder):
     """One process model per part, half of them with namespace prefixes."""
-    part = table(spark, folder, "part")
+    # Small rows that make long texts: dealt over all cores before.
+    part = table(spark, folder, "part").repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey")
     x = F.when(F.col("p_size") > 25, F.lit("bpmn:")).otherwise(F.lit(""))
 
     def tag(name, *attributes, closed=True):
