@@ -44,6 +44,14 @@ def test_exchange_files_may_be_compressed(spark, tmp_path):
     assert [r.archimate_id for r in linked.collect()] == ["r1"]
 
 
+def test_heads_of_files_sort_no_lines(spark, tmp_path):
+    for name, lines in (("a.csv", "\n  \na;b\n1;2\n"), ("b.csv", "﻿x,y;z,w\n" + "1,2\n" * 500), ("c.csv", "\n\n")):
+        (tmp_path / name).write_text(lines, encoding="utf-8")
+    heads = master_data.file_heads(spark, str(tmp_path))
+    assert "Sort" not in plan(heads) and "Window" not in plan(heads)
+    assert {r.path.rsplit("/", 1)[1]: (r.header, r.separator) for r in heads.collect()} == {"a.csv": ("a;b", ";"), "b.csv": ("x,y;z,w", ",")}
+
+
 def test_models_are_parsed_once(spark):
     text = ("<d><participant name='PoolOne' processRef='x:P1'/><participant name='Two' processRef='P1'/>"
             "<process id='P1'><lane name='L'/></process><process id='P2'/></d>")
