@@ -72,10 +72,13 @@ def without(docs: DataFrame, dropped: DataFrame, id_column: str, text_column: st
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below the shared folder of ``spark.checkpoint.dir`` and read again."""
+    """``df`` written as Parquet below the shared folder of ``spark.checkpoint.dir`` and read again.
+
+    Such a table is read few times and may hold the texts of all rows, so it is compressed for size.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -151,3 +151,11 @@ def test_tree_alone(spark, given):
     right = sum(len(set(found[key]) & set(blocks)) for key, _, _, blocks in given)
     assert right >= 0.99 * sum(len(set(blocks)) for *_, blocks in given)
     assert right >= 0.95 * sum(len(set(blocks)) for blocks in found.values())
+
+
+def test_records_are_stored_small(spark):
+    """What is kept of the pages between two steps counts as disk, so it is not left at the default codec."""
+    rows = [(i, f"http://h{i % 3}.org/{i}", f"<body><article><p>{'word and more words, ' * 40}{i}</p></article></body>") for i in range(60)]
+    records = htmltext.parsed(spark.createDataFrame(rows, "id long, url string, html string"))
+    assert records.count() == 60
+    assert all(name.endswith(".zstd.parquet") for name in records.inputFiles())
