@@ -117,17 +117,27 @@ def _wide(signatures: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``src, dst`` of the pairs with 100 * common shingles >= ``percent`` * all shingles of both."""
+    """``src, dst`` of the pairs with 100 * common shingles >= ``percent`` * all shingles of both.
+
+    Few pairs go to the sets, so that only the sets they name are shuffled: once for each pair and once as the other end.
+    """
+    pairs = cut_lineage(pairs)
     named = lambda end: sets.select(F.col("node").alias(end), F.col("grams").alias(f"{end}_grams"))
+    ours = named("src").join(small_or_shuffled(pairs), "src")
+    theirs = named("dst").join(small_or_shuffled(pairs.select("dst").distinct()), "dst", "left_semi")
     common = F.size(F.array_intersect("src_grams", "dst_grams"))
-    return (pairs.join(named("src"), "src").join(named("dst"), "dst")
+    return (ours.join(theirs, "dst")
             .filter((100 + percent) * common >= percent * (F.size("src_grams") + F.size("dst_grams"))).select("src", "dst"))
 
 
 def met_entries(signatures: DataFrame) -> DataFrame:
-    """``slot, key, node, n``: the entries of every signature whose bucket has ``n`` > 1 signatures."""
+    """``slot, key, node, n``: the entries of every signature whose bucket has ``n`` > 1 signatures.
+
+    The entries are shuffled once: the sizes are counted from the same columns, so that both sides read one exchange.
+    """
     entries = signatures.select("node", F.explode(_keys(range(CHUNKS), lambda at: F.col("chunks")[at])).alias("entry")).select("entry.*", "node")
-    sizes = entries.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    entries = entries.repartition("slot", "key")
+    sizes = entries.groupBy("slot", "key").agg(F.count("node").alias("n")).filter("n > 1")
     return entries.join(sizes, ["slot", "key"])
 
 
@@ -164,10 +174,14 @@ def crossing_grams(rooted: DataFrame, sets: DataFrame) -> DataFrame:
 
     ``n`` is the size of the set, ``many`` the number of sets with the shingle, ``used`` how many such shingles the node has.
     """
-    grams = sets.join(rooted.select("node", "root").distinct(), "node").select("node", "root", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram"))
-    common = (grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many"))
+    own = sets.join(small_or_shuffled(cut_lineage(rooted.select("node", "root").distinct())), "node")
+    # Shuffled once, as in met_entries; the size of the set is looked up at the end instead of travelling with every shingle.
+    grams = own.select("node", "root", F.explode("grams").alias("gram")).repartition("gram")
+    common = (grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("node").alias("many"))
               .filter("low != high").select("gram", "many"))
-    return grams.join(common, "gram").withColumn("used", F.count(F.lit(1)).over(Window.partitionBy("node")))
+    sizes = cut_lineage(own.select("node", F.size("grams").cast("long").alias("n")))
+    return (grams.join(common, "gram").withColumn("used", F.count(F.lit(1)).over(Window.partitionBy("node")))
+            .join(small_or_shuffled(sizes), "node").select("node", "root", "n", "gram", "many", "used"))
 
 
 def rare_rows(crossing: DataFrame, percent: int) -> DataFrame:
@@ -213,9 +227,12 @@ def links(signatures: DataFrame, sets_of, percent: int = 80, farthest: int = FAR
     ``signatures`` has ``node, chunks``, once per distinct set; ``sets_of`` gives ``node, grams`` of a table of nodes.
     """
     met = cut_lineage(met_entries(signatures))
-    sets = cut_lineage(sets_of(met.select("node").distinct()))
-    first = cut_lineage(confirmed(head_pairs(met, signatures, farthest), sets, percent))
-    return first.unionByName(confirmed(cross_pairs(met, signatures, components(first), farthest, crowd, sets, percent), sets, percent))
+    nodes = cut_lineage(met.select("node").distinct())
+    sets = cut_lineage(sets_of(nodes))
+    # Signatures that meet no other stay out of all further joins.
+    close = cut_lineage(signatures.join(small_or_shuffled(nodes), "node", "left_semi"))
+    first = cut_lineage(confirmed(head_pairs(met, close, farthest), sets, percent))
+    return first.unionByName(confirmed(cross_pairs(met, close, components(first), farthest, crowd, sets, percent), sets, percent))
 
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, percent: int = 80,
@@ -226,7 +243,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     signatures = cut_lineage(marks.filter("n > 0").groupBy("node").agg(F.first("chunks").alias("chunks"), F.min("hash").alias("hash")))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = cut_lineage(signatures.join(nodes, "node", "left_semi").select("hash"))
+        wanted = cut_lineage(signatures.join(small_or_shuffled(nodes), "node", "left_semi").select("hash"))
         found = texts.join(small_or_shuffled(wanted), "hash", "left_semi").select("text").mapInArrow(_sets(width), "node long, grams array<long>")
         return found.groupBy("node").agg(F.first("grams").alias("grams"))
 

@@ -84,6 +84,15 @@ def test_join_finds_all_pairs_within_the_distance(spark):
     assert len(expected) > 10 and minhash.SURE >= 2
 
 
+def test_entries_are_shuffled_once(spark, capsys):
+    """Sizes of buckets and their entries are read from one exchange, not from two of the same rows."""
+    signatures = spark.createDataFrame([(i, [i // 2 + at for at in range(minhash.CHUNKS)]) for i in range(40)], "node long, chunks array<long>")
+    met = minhash.met_entries(signatures)
+    assert {row.node for row in met.collect()} == set(range(40))
+    met.explain()
+    assert "ReusedExchange" in capsys.readouterr().out
+
+
 def test_repeated_and_missing_ids(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (None, "other words stand here"), (2, "q"), (2, None)]
     found = sorted(minhash.near_classes(documents(spark, rows)).collect(), key=str)
