@@ -108,3 +108,18 @@ def test_rows_made_from_texts_are_not_broadcast(spark):
     b = a.withColumn("need", F.lit(0.85))
     plan = ratio_candidates(a, b, 0.85)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in plan
+
+
+def test_parts_of_the_mentions_are_not_broadcast(spark, tmp_path, capsys):
+    """A small file of parts may hold very many rows."""
+    from workload.resolution import fuzzy_part_candidates
+
+    parts = [(i, f"steel pipe {i % 3}", f"LARGE {i % 2}") for i in range(12)]
+    lines = [(i // 3, i % 12, i % 3, "A") for i in range(36)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = fuzzy_part_candidates(spark, str(tmp_path))
+    found.explain()
+    shown = capsys.readouterr().out
+    assert "SortMergeJoin [l_partkey" in shown and "BroadcastHashJoin [l_partkey" not in shown
+    assert found.count() == len(lines)
